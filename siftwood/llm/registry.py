@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe_automaton", "token_counts")
+MODULES = ("sharding", "decontaminate", "chat_format", "quality_rules", "token_files", "jaccard_join", "bpe_automaton", "token_counts")
 
 
 def _all(name: str) -> dict:
