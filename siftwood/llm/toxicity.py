@@ -11,7 +11,7 @@
    rows hold more often than chance over all candidates allows.
 
 The classifier is fitted on MOST_LABELLED labelled rows of either class at most,
-chosen by a hash of doc_id; the base rate comes from all labelled rows.
+chosen by a hash of doc_id, near copies (by min-hashes) once; the base rate comes from all labelled rows.
 Inputs of a score: the text alone.
 
 Results: null and empty texts get the score of a text without features (under
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -32,11 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_files import MEMO_ROWS
-from .common import table, without
+from .common import drop_stored, fixed, stored, table, without
+from .jaccard_join import min_hashes, shingles
 
 THRESHOLD = 0.7
-#: Rows of either class in the fit; candidate features kept; chance of a false feature over all candidates.
-MOST_LABELLED, MOST_FEATURES, CHANCE = 6000, 4000, 0.05
+#: Rows of either class in the fit; candidate features kept; chance of a false feature over all candidates; toxic rows from which a feature is sure.
+MOST_LABELLED, MOST_FEATURES, CHANCE, SURE = 6000, 4000, 0.05, 40
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäåæçèéêëìíîïñòóôöøùúûüßœ"
 SIZE = 64
 #: What a sign may stand for.
@@ -194,7 +194,7 @@ class Reader:
 class Model:
     """weights: feature to weight; score(text)."""
 
-    def __init__(self, reader: Reader, weights: dict[str, float], bias: float):
+    def __init__(self, reader: Reader, weights: dict[str, tuple[float, float]], bias: float):
         self.reader, self.weights, self.bias = reader, weights, bias
         self.memo: dict[str, tuple[str, ...]] = {}
 
@@ -221,7 +221,8 @@ class Model:
                 found.update(own)
         for x in self.reader.spaced(low):
             found.update(self.known(x))
-        z = self.bias + sum(self.weights[f] for f in sorted(found))
+        own = [self.weights[f] for f in sorted(found)]
+        z = max([self.bias + sum(w for w, _ in own), *[least for _, least in own]])
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -232,51 +233,83 @@ def _log_tail(k: int, n: int, p: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
-def fit(reader: Reader, rows: list[tuple[str, int]], base: float) -> tuple[dict[str, float], float]:
-    """Weights and bias; base: the share of toxic rows outside the sample."""
-    sets = [reader.text_features(t) for t, _ in rows]
-    y = np.array([x for _, x in rows], np.float64)
+def choose(found: list[tuple[str, int, int]], n1: int, n0: int, tried: int) -> list[tuple[str, int, int]]:
+    """Of features (name, toxic rows, rows) those that chance over all tried does not explain."""
+    p = n1 / (n1 + n0)
+    limit = math.log(CHANCE / max(tried, 1))
+    kept = sorted((x, f, k, n) for f, k, n in found if (x := _log_tail(k, n, p)) < limit)
+    return [(f, k, n) for _, f, k, n in kept[:MOST_FEATURES]]
+
+
+def fit(chosen: list[tuple[str, int, int]], sets: list[list[int]], y: np.ndarray, base: float) -> tuple[dict[str, tuple[float, float]], float]:
+    """Weight and least logit by feature, and the bias. sets: indexes of features of each row; base: the share of toxic rows outside the sample.
+
+    The least logit is what a feature shows alone that SURE toxic rows and no others hold: their number against three."""
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
-    if not n1 or not n0:
-        return {}, -60.0
-    ones, all_ = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        all_.update(s)
-        if label:
-            ones.update(s)
     p = n1 / (n1 + n0)
-    candidates = [f for f, k in ones.items() if k >= 3 and k > 2 * p * all_[f] * (0.5 if p > 0.4 else 1)]
-    limit = math.log(CHANCE / max(len(candidates), 1))
-    chosen = sorted((x, f) for f in candidates if (x := _log_tail(ones[f], all_[f], p)) < limit and ones[f] >= 0.8 * all_[f])[:MOST_FEATURES]
-    names = [f for _, f in chosen]
-    at = {f: i for i, f in enumerate(names)}
     weight = np.where(y > 0, base / p, (1 - base) / (1 - p))
-    index = [np.array([at[f] for f in s if f in at], np.int64) for s in sets]
-    flat = np.concatenate([*index, np.empty(0, np.int64)])
-    row = np.repeat(np.arange(len(rows)), [len(i) for i in index])
-    w, b = np.zeros(len(names)), math.log(base / (1 - base))
-    vw, vb = np.zeros(len(names)), 0.0
+    flat = np.array([i for s in sets for i in s], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    w, b = np.zeros(len(chosen)), math.log(base / (1 - base))
+    vw, vb = np.zeros(len(chosen)), 0.0
     for _ in range(400):  # gradient descent with momentum on the ridge-penalised loss
-        z = b + np.bincount(row, w[flat], minlength=len(rows))
+        z = b + np.bincount(row, w[flat], minlength=len(sets))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        vw = 0.9 * vw - 40.0 * (np.bincount(flat, g[row], minlength=len(names)) / weight.sum() + 1e-5 * w)
+        vw = 0.9 * vw - 40.0 * (np.bincount(flat, g[row], minlength=len(chosen)) / weight.sum() + 1e-5 * w)
         vb = 0.9 * vb - 0.5 * g.sum() / weight.sum()
         w, b = np.clip(w + vw, 0, 12), b + vb
-    return dict(zip(names, w.tolist(), strict=True)), float(b)
+    least = [math.log(k / 3) if k == n >= SURE else -60.0 for _, k, n in chosen]
+    return {f: (float(x), z) for (f, _, _), x, z in zip(chosen, w, least, strict=True)}, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, tuple[float, float]], float]:
     """Character counts over all docs; weights and bias from labelled training rows (crc32(doc_id) mod 3 is not 1)."""
     counts = count_trigrams(docs)
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     totals = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return counts, {}, -60.0
     picked = [own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED) for k in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * MOST_LABELLED rows at most
-    drawn = docs.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = [(r.text or "", r.toxic) for r in drawn.orderBy("doc_id").collect()]
-    return counts, *fit(Reader(Channel(counts)), rows, totals[1] / (totals[0] + totals[1]))
+    small = _packed(counts)
+
+    @F.arrow_udf("fs array<string>, p1 long, p2 long, p3 long")
+    def features(texts):
+        import pyarrow as pa
+
+        reader = Reader(Channel(_unpacked(small)))
+        texts = [t or "" for t in texts.to_pylist()]
+        parts = [pa.array([sorted(reader.text_features(t)) for t in texts], pa.list_(pa.string()))]
+        parts += [pa.array(x, pa.int64()) for x in zip(*[min_hashes(shingles(t)) for t in texts], strict=True)] if texts else [pa.array([], pa.int64())] * 3
+        return pa.StructArray.from_arrays(parts, ["fs", "p1", "p2", "p3"])
+
+    all_drawn = stored(docs.join(picked, "doc_id").select("doc_id", "toxic", features("text").alias("x")).select("doc_id", "toxic", "x.*"), "features")
+    single = all_drawn.select("doc_id", "p1", "p2", "p3")
+    for p in ("p1", "p2", "p3"):  # near copies of one text count once, else its words would seem to be signs of its label
+        single = single.groupBy(p).agg(F.min_by(F.struct("doc_id", "p1", "p2", "p3"), "doc_id").alias("x")).select("x.*")
+    drawn = fixed(all_drawn.drop("p1", "p2", "p3").join(F.broadcast(single.select("doc_id").distinct()), "doc_id"))
+    rows = drawn.select("toxic", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where("k >= 3")
+    tried = rows.count()
+    best = rows.where("k >= 0.8 * n").orderBy(F.desc("k"), "f").limit(10 * MOST_FEATURES)
+    n = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = choose([(r.f, r.k, r.n) for r in best.collect()], n.get(1, 0), n.get(0, 0), tried)
+    names = F.array(*[F.lit(f) for f, _, _ in chosen]) if chosen else F.array().cast("array<string>")
+    at = {f: i for i, (f, _, _) in enumerate(chosen)}
+    held = [(r.toxic, [at[f] for f in r.fs]) for r in drawn.select("doc_id", "toxic", F.array_intersect("fs", names).alias("fs")).orderBy("doc_id").collect()]
+    drop_stored(all_drawn)
+    return counts, *fit(chosen, [s for _, s in held], np.array([t for t, _ in held], np.float64), totals[1] / (totals[0] + totals[1]))
+
+
+def _packed(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def _unpacked(packed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(SIZE**3, np.int64)
+    out[packed[0]] = packed[1]
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -286,11 +319,10 @@ def held_out(doc_id: Column) -> Column:
 _MODELS: dict[str, Model] = {}
 
 
-def score_column(text: Column, counts: np.ndarray, weights: dict[str, float], bias: float) -> Column:
+def score_column(text: Column, counts: np.ndarray, weights: dict[str, tuple[float, float]], bias: float) -> Column:
     import uuid
 
-    key = uuid.uuid4().hex
-    small = counts[np.flatnonzero(counts)].tolist(), np.flatnonzero(counts).tolist()
+    key, small = uuid.uuid4().hex, _packed(counts)
 
     @F.arrow_udf("double")
     def run(texts):
@@ -299,9 +331,7 @@ def score_column(text: Column, counts: np.ndarray, weights: dict[str, float], bi
         model = _MODELS.get(key)
         if model is None:
             _MODELS.clear()
-            full = np.zeros(SIZE**3, np.int64)
-            full[small[1]] = small[0]
-            model = _MODELS[key] = Model(Reader(Channel(full)), weights, bias)
+            model = _MODELS[key] = Model(Reader(Channel(_unpacked(small))), weights, bias)
         return pa.array([model.score(t or "") for t in texts.to_pylist()], pa.float64())
 
     return run(text)
