@@ -29,6 +29,8 @@ from .common import fixed, fresh, stored, table, without
 
 #: A window's words; the least words of a gram in the scan; the most hashes in a task's code.
 WINDOW, GRAM, MOST_GRAMS = 13, 5, 50_000
+#: Contaminated texts' hashes broadcast at most; more are joined.
+MOST_REMOVED = 500_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -146,6 +148,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return out.drop(rid, "items")
 
 
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """docs without the contaminated ones."""
+    key, size = fresh(docs, "key", "size")
+    marks = [F.xxhash64(F.col(f"`{text}`")).alias(key), F.octet_length(F.col(f"`{text}`")).alias(size)]
+    found = decontaminate(docs.select(*marks, F.col(f"`{text}`").alias("text")), benchmark)
+    found = fixed(found.where("contaminated").select(key, size).distinct())
+    found = F.broadcast(found) if found.count() <= MOST_REMOVED else found
+    return docs.withColumn(key, marks[0]).withColumn(size, marks[1]).join(found, [key, size], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"))

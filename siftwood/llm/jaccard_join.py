@@ -328,10 +328,8 @@ def _verify(pairs: DataFrame, measured: DataFrame, docs: DataFrame, width: int,
     return out
 
 
-def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id; one row per row of docs."""
-    spark = docs.sparkSession
-    id_kind = docs.schema[doc_id].dataType
+def jaccard_rows(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id (long), th (hash of the text), n (set size), top (the component's least digest; null for empty sets), component_id."""
     t = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
     measured = stored(rows.mapInArrow(_measure(width), "is_count boolean, doc_id long, th long, n long, digest binary, p1 long, p2 long, p3 long"), "measured")
@@ -369,9 +367,35 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     tops = classes.select("digest", "least").join(node_root.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")).join(merged, "root", "left").select("digest", "least", F.coalesce("top", "root").alias("top"))
     tops = fixed(tops)
     least = tops.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = tops.join(least, "top").select("digest", "component_id")
-    out = own.select("doc_id", "n", "digest").join(named, "digest", "left")
-    return out.select(F.col("doc_id").cast(id_kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).cast(id_kind).alias("component_id"))
+    named = tops.join(least, "top").select("digest", "top", "component_id")
+    out = own.select("doc_id", "th", "n", "digest").join(named, "digest", "left")
+    return out.select("doc_id", "th", "n", "top", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id; one row per row of docs."""
+    kind = docs.schema[doc_id].dataType
+    rows = jaccard_rows(docs, width, percent, text, doc_id)
+    return rows.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: the least doc_id's (nulls last); rows with empty sets all stay."""
+    rows = fixed(jaccard_rows(docs, width, percent, text, doc_id)).where("n > 0")
+    first = F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
+    stay = rows.groupBy("top").agg(first.alias("x")).select("top", F.col("x.doc_id").alias("stay_id"), F.col("x.th").alias("stay_th"))
+    gone = rows.join(stay, "top").where(~(F.col("doc_id").eqNullSafe(F.col("stay_id")) & F.col("th").eqNullSafe(F.col("stay_th"))))
+    gone = fixed(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
+    id_, th = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
+    small = gone.count() <= MOST_WANTED
+    out = docs.join(F.broadcast(gone) if small else gone, id_.eqNullSafe(F.col("gone_id")) & th.eqNullSafe(F.col("gone_th")), "left_anti")
+    again = fixed(rows.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("again_id"), F.col("th").alias("again_th")))
+    n = again.count()
+    if not n:
+        return out
+    again = F.broadcast(again) if n <= MOST_WANTED else again  # rows that are there twice
+    same = id_.eqNullSafe(F.col("again_id")) & th.eqNullSafe(F.col("again_th"))
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([doc_id, text]))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sharding", "decontaminate", "chat_format", "quality_rules", "token_files", "toxicity", "jaccard_join", "bpe_automaton", "token_counts")
+MODULES = ("sharding", "decontaminate", "html_text", "chat_format", "quality_rules", "token_files", "toxicity", "jaccard_join", "bpe_automaton", "token_counts")
 
 
 def _all(name: str) -> dict:
