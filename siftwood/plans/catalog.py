@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import macro_text as M
-from ..operators import dde, verdict
+from ..operators import dde, filetypes, verdict
 from ..operators import macro_scan as S
 from ..sources import cfb, formats, ovba, tables
 
@@ -550,6 +550,91 @@ def oleid_indicators(spark, sf_dir):
     return verdict.indicators(part_files(spark, sf_dir, office_file))
 
 
+def package(parts: dict[str, str], flag: bool = False) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    data = bytearray(out.getvalue())
+    if flag:  # marks the first member as encrypted, in both of its headers
+        data[6] |= 1
+        data[data.find(b"PK\x01\x02") + 8] |= 1
+    return bytes(data)
+
+
+@query("s3_file_types", """SELECT p_partkey AS file_id, CASE p_partkey % 6 WHEN 0 THEN 'Word97' WHEN 1 THEN 'DOCM' WHEN 2 THEN 'XLSX' WHEN 3 THEN 'RTF' WHEN 4 THEN 'EXE' ELSE 'unknown' END AS file_type,
+  CASE p_partkey % 6 WHEN 0 THEN 'OLE' WHEN 1 THEN 'OpenXML' WHEN 2 THEN 'OpenXML' WHEN 3 THEN 'RTF' WHEN 4 THEN 'PE' END AS container, CASE p_partkey % 6 WHEN 0 THEN 'yes' WHEN 1 THEN 'yes' WHEN 2 THEN 'no' WHEN 3 THEN 'no' WHEN 4 THEN 'no' END AS may_hold_macros FROM part""")
+def s3_file_types(spark, sf_dir):
+    rels = '<Relationships><Relationship Id="1" Type="http://x/officeDocument" Target="{}"/></Relationships>'
+
+    def build(k, t):
+        kind = k % 6
+        if kind == 0:
+            return cfb.write({"WordDocument": t.encode()}, clsid=bytes.fromhex("0609020000000000C000000000000046"))
+        if kind == 1:
+            return package({"_rels/.rels": rels.format("word/document.xml"), "[Content_Types].xml": '<Types><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.ms-word.document.macroEnabled.main+xml"/></Types>'})
+        if kind == 2:
+            return package({"_rels/.rels": rels.format("/xl/workbook.xml"), "[Content_Types].xml": '<Types><Default Extension="xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/></Types>'})
+        return [b"{\\rtf1 ", b"MZ", b"none "][kind - 3] + t.encode()
+
+    files = _files(table(spark, sf_dir, "part"), "p_partkey", "p_name", build)
+    return filetypes.file_types(files).select("file_id", "file_type", "container", "may_hold_macros")
+
+
+@query("j11_record_names", "SELECT s_suppkey AS file_id, unnest(['BOF', 'SupBook', 'EOF']) AS type_name FROM supplier")
+def j11_record_names(spark, sf_dir):
+    return filetypes.named_records(tables.records(supplier_files(spark, sf_dir, xls_stream), "xls"), formats.BIFF8_NAMES).select("file_id", "type_name")
+
+
+@query("g14_stomping", "SELECT s_suppkey AS file_id, s_suppkey % 2 = 1 AS stomped FROM supplier")
+def g14_stomping(spark, sf_dir):
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), "s_name")
+    code = base.select("file_id", F.concat(F.lit('Sub A()\nMsgBox "say ""'), "s_name", F.lit('"""\n'), F.when(F.col("file_id") % 2 == 0, "Shell x\n").otherwise("")).alias("code"))
+    pcode = base.select("file_id", F.concat(F.lit('Line #1:\n\tLitStr 0x0005 "say "'), "s_name", F.lit('""\n\tArgsCall (Call) MsgBox 0x1\n\tArgsCall Shell 0x0001\n\tLd id_FFFF\n')).alias("pcode"))
+    return filetypes.stomped(code, pcode)
+
+
+@query("c2_zip_encrypted", "SELECT s_suppkey AS file_id, 'a.xml' AS part, s_suppkey % 2 = 0 AS encrypted, s_suppkey % 2 = 1 AS readable FROM supplier")
+def c2_zip_encrypted(spark, sf_dir):
+    rows = tables.zip_parts(supplier_files(spark, sf_dir, lambda k, t: package({"a.xml": t}, flag=k % 2 == 0)))
+    return rows.select("file_id", "part", "encrypted", F.col("data").isNotNull().alias("readable"))
+
+
+@query("g23_xlsx_links", "SELECT s_suppkey AS file_id, 0::BIGINT AS ordinal, 'cmd ' || s_name AS link FROM supplier")
+def g23_xlsx_links(spark, sf_dir):
+    files = supplier_files(spark, sf_dir, lambda k, t: f'<externalLink xmlns="urn:x"><ddeLink ddeService="cmd" ddeTopic="{t}"/></externalLink>'.encode())
+    return tables.generate(files, lambda d: enumerate(formats.xlsx_links(d)), "ordinal long, link string")
+
+
+@query("g11_form_strings", "SELECT s_suppkey AS file_id, 0::BIGINT AS ordinal, s_name AS string FROM supplier")
+def g11_form_strings(spark, sf_dir):
+    files = supplier_files(spark, sf_dir, lambda k, t: cfb.write({"Macros/UserForm1/o": b"\0\1Tahoma\0\2" + t.encode() + b"\0abc\0", "Macros/UserForm1/f": b"x"}))
+    o = tables.ole_streams(files).where(F.col("path").endswith("/o"))
+    return tables.generate(o.select("file_id", F.col("stream").alias("content")), lambda d: enumerate(formats.form_strings(d)), "ordinal long, string string")
+
+
+@query("document_variables", "SELECT s_suppkey AS file_id, 'v' || s_suppkey AS name, s_name AS value FROM supplier")
+def document_variables(spark, sf_dir):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    files = supplier_files(spark, sf_dir, lambda k, t: f'<w:settings {w}><w:docVars><w:docVar w:name="v{k}" w:val="{t}"/></w:docVars></w:settings>'.encode())
+    return tables.generate(files, formats.document_variables, "name string, value string")
+
+
+@query("f14_file_names", "SELECT s_suppkey AS file_id, unnest([0::BIGINT, 1::BIGINT]) AS place, unnest([replace(s_name, '#', '_') || '.exe', 'x.longer']) AS name FROM supplier")
+def f14_file_names(spark, sf_dir):
+    rows = tables.generate(supplier_files(spark, sf_dir, lambda k, t: t.encode()), lambda d: enumerate(formats.name_candidates("", f"C:\\dir\\{d.decode()}.exe", "/tmp/x.longer", 128, 1)), "place long, name string")
+    return rows.where("place < 2")
+
+
+@query("p8_custom_ui", "SELECT s_suppkey AS file_id, s_name AS on_load, 'CVE-2021-42292' AS tag FROM supplier")
+def p8_custom_ui(spark, sf_dir):
+    files = supplier_files(spark, sf_dir, lambda k, t: f'<customUI xmlns="http://schemas.microsoft.com/office/2006/01/customui" onLoad="{t}"><ribbon/></customUI>'.encode())
+    return tables.xml_elements(files, "customUI").where("attributes['onLoad'] is not null").select("file_id", F.col("attributes")["onLoad"].alias("on_load"), F.lit("CVE-2021-42292").alias("tag"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
