@@ -148,8 +148,12 @@ class Tree:
     def features(self) -> list[list[int]]:
         """The features that each node has."""
         own, linked = self.lengths()
+        direct = [0] * len(self.tags)
+        for node, text in self.runs:
+            if text is not None:
+                direct[node] += len(text.strip())
         out = []
-        for tag, raw, n, k in zip(self.tags, self.attributes, own, linked, strict=True):
+        for tag, raw, n, k, d in zip(self.tags, self.attributes, own, linked, direct, strict=True):
             f = [0]
             group = TAG_GROUP.get(tag) or ("t_inline" if tag in INLINE else "")
             if group:
@@ -160,7 +164,7 @@ class Tree:
                 f.append(AT["links_most"])
             elif 10 * k > 2 * n:
                 f.append(AT["links_some"])
-            f.append(AT["text_none" if n == 0 else "text_long" if n > 140 else "text_short"])
+            f.append(AT["text_none" if d == 0 else "text_long" if d > 140 else "text_short"])
             out.append(f)
         return out
 

@@ -55,4 +55,5 @@ def labelled_pages() -> list[str]:
         close = "".join(f"</{t}>" for t in (("article", "main") if tag.startswith("<main><art") else ("div", "div") if tag.startswith('<div id="page"') else (tag[1:].split()[0],)))
         body = _body((i * 7 + i // 6) % 6)
         pages.append(_HEAD + fronts[i % 7] + tag + body + extra + close + backs[(i * 3 + i // 7) % 7] + _END)
-    return pages
+    bare = (_p(_LONG * 40), _p(_SHORT), "<h1>The bridge</h1>" + _p(_LONG, _SHORT), _body(1))
+    return pages + [tag + body + "".join(f"</{t}>" for t in [tag[1:].split()[0]]) + back for tag in opens[:4] for body in bare for back in ("", _FOOT)]
