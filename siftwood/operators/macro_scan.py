@@ -120,7 +120,7 @@ def triage(rows: DataFrame, type_tag: str = "TXT", macros: Column | None = None)
     return s.withColumn("flags", F.concat(F.lit(f"{type_tag}:"), *letters))
 
 
-def raptor(rows: DataFrame) -> DataFrame:
+def flag_verdicts(rows: DataFrame) -> DataFrame:
     """file_id, the three flags' first matches, flags, suspicious, verdict and exit_code."""
     a, w, x = M.flags(F.col("code"))
     out = rows.select("file_id", a.alias("autoexec"), w.alias("writes"), x.alias("executes"))

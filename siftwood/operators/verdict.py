@@ -10,7 +10,7 @@ from . import macro_scan as S
 
 
 def worst(verdicts: DataFrame) -> DataFrame:
-    """exit_code, verdict, n_files: the worst of all. verdicts: of raptor()."""
+    """exit_code, verdict, n_files: the worst of all. verdicts: of flag_verdicts()."""
     return verdicts.agg(F.max("exit_code").cast("int").alias("exit_code"), F.max_by("verdict", "exit_code").alias("verdict"), F.count("*").alias("n_files"))
 
 
@@ -18,7 +18,7 @@ def indicators(files: DataFrame) -> DataFrame:
     """file_id, id, value, risk: what a file is and holds, one row each."""
     kinds = files.select("file_id", tables.container_type().alias("container"))
     code = tables.all_code(tables.macros(files))
-    verdicts = S.raptor(code).select("file_id", "suspicious")
+    verdicts = S.flag_verdicts(code).select("file_id", "suspicious")
     streams = tables.ole_streams(files)
     pool = streams.groupBy("file_id").agg(F.max(F.coalesce(F.col("path").startswith("ObjectPool/"), F.lit(False))).alias("pool"))
     flashes = tables.flash(files).groupBy("file_id").agg(F.count("*").alias("flash"))

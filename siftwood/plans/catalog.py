@@ -200,19 +200,19 @@ def t12_reveal(spark, sf_dir):
 
 
 _A, _W, _X = (_duck_pattern(p) for p in (V.FLAG_AUTOEXEC, V.FLAG_WRITE, V.FLAG_EXECUTE))
-_RAPTOR = f"""SELECT file_id, a AS autoexec, w AS writes, x AS executes, CASE WHEN a <> '' THEN 'A' ELSE '-' END || CASE WHEN w <> '' THEN 'W' ELSE '-' END || CASE WHEN x <> '' THEN 'X' ELSE '-' END AS flags,
+_FLAGS = f"""SELECT file_id, a AS autoexec, w AS writes, x AS executes, CASE WHEN a <> '' THEN 'A' ELSE '-' END || CASE WHEN w <> '' THEN 'W' ELSE '-' END || CASE WHEN x <> '' THEN 'X' ELSE '-' END AS flags,
   a <> '' AND (w <> '' OR x <> '') AS suspicious, CASE WHEN a <> '' AND (w <> '' OR x <> '') THEN 'SUSPICIOUS' ELSE 'Macro OK' END AS verdict, CASE WHEN a <> '' AND (w <> '' OR x <> '') THEN 20 ELSE 2 END AS exit_code
 FROM (SELECT file_id, regexp_extract(code, {_A}) AS a, regexp_extract(code, {_W}) AS w, regexp_extract(code, {_X}) AS x FROM ({DUCK_PARTS}))"""
 
 
-@query("t13_raptor", _RAPTOR)
-def t13_raptor(spark, sf_dir):
-    return S.raptor(part_code(spark, sf_dir))
+@query("t13_flags", _FLAGS)
+def t13_flags(spark, sf_dir):
+    return S.flag_verdicts(part_code(spark, sf_dir))
 
 
-@query("a3_global_verdict", f"SELECT max(exit_code)::INT AS exit_code, arg_max(verdict, exit_code) AS verdict, count(*)::BIGINT AS n_files FROM ({_RAPTOR})")
+@query("a3_global_verdict", f"SELECT max(exit_code)::INT AS exit_code, arg_max(verdict, exit_code) AS verdict, count(*)::BIGINT AS n_files FROM ({_FLAGS})")
 def a3_global_verdict(spark, sf_dir):
-    return verdict.worst(S.raptor(part_code(spark, sf_dir)))
+    return verdict.worst(S.flag_verdicts(part_code(spark, sf_dir)))
 
 
 @query("p1_drop_attributes", f"SELECT file_id, regexp_replace(code, '^(Attribute VB_[^:\\n]*\\n)+', '') AS code FROM ({DUCK_PARTS})")
@@ -235,9 +235,9 @@ def g43_hexdump(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.inline(M.hexdump(F.col("c_name"))))
 
 
-@query("k2_json", f"SELECT file_id, '{{\"file_id\":' || file_id || ',\"verdict\":\"' || verdict || '\",\"flags\":\"' || flags || '\"}}' AS json FROM ({_RAPTOR})")
+@query("k2_json", f"SELECT file_id, '{{\"file_id\":' || file_id || ',\"verdict\":\"' || verdict || '\",\"flags\":\"' || flags || '\"}}' AS json FROM ({_FLAGS})")
 def k2_json(spark, sf_dir):
-    return S.raptor(part_code(spark, sf_dir)).select("file_id", F.to_json(F.struct("file_id", "verdict", "flags")).alias("json"))
+    return S.flag_verdicts(part_code(spark, sf_dir)).select("file_id", F.to_json(F.struct("file_id", "verdict", "flags")).alias("json"))
 
 
 # --- fields, cells, SYLK ---------------------------------------------------------------------
@@ -543,10 +543,10 @@ def st1_mail_parts(spark, sf_dir):
     return tables.mail_parts(files).where("name <> ''").select("file_id", "name", "md5")
 
 
-@query("oleid_indicators", f"""WITH r AS ({_RAPTOR}) SELECT file_id, unnest(['container', 'encrypted', 'vba', 'flash', 'object_pool']) AS id,
+@query("file_indicators", f"""WITH r AS ({_FLAGS}) SELECT file_id, unnest(['container', 'encrypted', 'vba', 'flash', 'object_pool']) AS id,
   unnest([CASE file_id % 5 WHEN 0 THEN 'OLE' WHEN 1 THEN 'OpenXML' WHEN 2 THEN 'Word2003_XML' WHEN 3 THEN 'FlatOPC_XML' ELSE 'MHTML' END, 'false', CASE WHEN suspicious THEN 'Yes, suspicious' ELSE 'Yes' END, '0', 'false']) AS value,
   unnest(['info', 'none', CASE WHEN suspicious THEN 'HIGH' ELSE 'Medium' END, 'none', 'none']) AS risk FROM r""")
-def oleid_indicators(spark, sf_dir):
+def file_indicators(spark, sf_dir):
     return verdict.indicators(part_files(spark, sf_dir, office_file))
 
 
