@@ -52,7 +52,7 @@ def _lines(pairs: Column, turn=lambda x: x["decoded"]) -> Column:
 
 
 def variants(rows: DataFrame) -> DataFrame:
-    """One row for each file and variant that has text: file_id, variant, name, code. rows: of decode_strings()."""
+    """One row for each file and variant that has text, and one for what is noted of its encoded strings: file_id, noted, variant, name, code. rows: of decode_strings()."""
     turned = F.contains(F.lower("code"), F.lit("strreverse"))
     codes = [
         F.col("code"),
@@ -63,26 +63,29 @@ def variants(rows: DataFrame) -> DataFrame:
         _lines(F.col("dridex")),
         _lines(F.col("vba")),
     ]
-    each = F.array(*[F.struct(F.lit(i).alias("variant"), F.lit(name).alias("name"), c.alias("code")) for i, (name, c) in enumerate(zip(VARIANTS, codes, strict=True))])
-    return rows.select("file_id", F.explode(F.filter(each, lambda x: x["code"] != "")).alias("v")).select("file_id", "v.*")
+    each = [F.struct(F.lit(i).alias("variant"), F.lit(name).alias("name"), c.alias("code")) for i, (name, c) in enumerate(zip(VARIANTS, codes, strict=True))]
+    some = F.filter(F.array(*each), lambda x: x["code"] != "")
+    noted = F.filter(F.array(*[F.when(F.size(k) > 0, _found(F.lit("Suspicious"), F.lit(i), F.lit(word), F.lit(text))) for i, (k, word, text) in enumerate(DETECTED)]), lambda x: x.isNotNull())
+    last = F.struct(F.lit(len(VARIANTS)).alias("variant"), F.lit("").alias("name"), F.lit("").alias("code"))
+    all_ = F.concat(some, F.when(F.size(noted) > 0, F.array(last)).otherwise(F.array().cast("array<struct<variant:int,name:string,code:string>>")))
+    return rows.select("file_id", noted.alias("noted"), F.explode(all_).alias("v")).select("file_id", "noted", "v.*")
+
+
+def _found(category: Column, ord_: Column, keyword: Column, description: Column) -> Column:
+    return F.struct(category.alias("category"), ord_.cast("int").alias("ord"), keyword.alias("keyword"), description.alias("description"))
 
 
 def raw_findings(rows: DataFrame) -> DataFrame:
-    """All findings before any is dropped as a repetition: file_id, category, variant, ord, keyword, description."""
+    """All findings before any is dropped as a repetition: file_id, category, variant, ord, keyword, description. One pass over the code."""
     v = variants(rows).withColumn("tokens", M.plain_tokens(F.col("code")))
     note = F.when(F.col("name") == "", "").otherwise(F.concat(F.lit(" (obfuscation: "), F.col("name"), F.lit(")")))
-    code = F.col("code")
-    own = F.transform(M.find_iocs(code), lambda x: F.struct(x["ord"].alias("ord"), x["keyword"].alias("keyword"), F.concat(x["description"], note).alias("description")))
-    parts = [
-        v.select("file_id", "variant", F.lit(c).alias("category"), F.inline(found))
-        for c, found in (("AutoExec", M.find_autoexec(code, note, F.col("tokens"))), ("Suspicious", M.find_suspicious(code, note, F.col("name") == "", F.col("tokens"))), ("IOC", own))
-    ]
-    noted = F.filter(F.array(*[F.when(F.size(k) > 0, F.struct(F.lit(i).alias("ord"), F.lit(word).alias("keyword"), F.lit(text).alias("description"))) for i, (k, word, text) in enumerate(DETECTED)]), lambda x: x.isNotNull())
-    parts.append(rows.select("file_id", F.lit(len(VARIANTS)).alias("variant"), F.lit("Suspicious").alias("category"), F.inline(noted)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    code, tokens = F.col("code"), F.col("tokens")
+
+    def tagged(category: str, found: Column, suffix: Column | None = None) -> Column:
+        return F.transform(found, lambda x: _found(F.lit(category), x["ord"], x["keyword"], x["description"] if suffix is None else F.concat(x["description"], suffix)))
+
+    own = F.concat(tagged("AutoExec", M.find_autoexec(code, note, tokens)), tagged("Suspicious", M.find_suspicious(code, note, F.col("name") == "", tokens)), tagged("IOC", M.find_iocs(code), note))
+    return v.select("file_id", "variant", F.inline(F.when(F.col("variant") == len(VARIANTS), F.col("noted")).otherwise(own))).select("file_id", "category", "variant", "ord", "keyword", "description")
 
 
 def decoded_findings(rows: DataFrame, show_all: bool = False) -> DataFrame:
