@@ -6,16 +6,16 @@ when 100 * intersection >= PERCENT * union. The steps:
 1. Measure: one row per document: set size and digest. Documents of one digest
    have one set and are a single class from here on. Shingles found in two or
    more sets of one task are counted, and the most frequent of them ordered last.
-2. Near copies first: classes are sorted by min-hashes, three ways; each is
-   compared with the classes right before it. This finds no wrong link and needs
+2. Near copies first: classes are sorted by min-hashes, two ways; each is
+   compared with some classes before it that share its min-hash. This finds no wrong link and needs
    to find no particular one: it only joins most near copies early, so that
    step 3 needn't look at every pair of a large group.
 3. Grouped prefix join: under the order of step 1, linked sets share a shingle in
    their prefixes (size - ceil(t * size) + 1 first ones). Classes with the same
    prefix and size are one group; groups that share a prefix shingle are paired if
    sizes and positions allow a link and they are not one component already; pairs
-   of groups are expanded to their members and verified by the whole sets. So
-   every link between components is found.
+   of groups are filtered by what their prefixes share, expanded to their members
+   and verified by the whole sets. So every link between components is found.
 4. Components of the links, and the least doc_id of each.
 
 What is broadcast: the last-ordered shingles (FREQUENT of them at most), and text
@@ -33,12 +33,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fixed, stored, table
+from .common import drop_stored, fixed, release, stored, table
 from .components import components
 
 WORDS, PERCENT = 4, 85
-#: Shingles ordered last at most, and the count from which one is; text hashes broadcast at most; classes compared with each.
-FREQUENT, FREQUENT_FROM, MOST_WANTED, NEIGHBOURS = 100_000, 16, 500_000, 3
+#: Shingles ordered last at most, and the count from which one is; text hashes broadcast at most; classes that the next one is compared with.
+FREQUENT, FREQUENT_FROM, MOST_WANTED, NEIGHBOURS = 200_000, 8, 500_000, 48
+#: Classes of one min-hash that are compared in one task at most, about.
+TOGETHER = 20_000
 #: Hashes whose repetitions a task counts at once.
 COUNTED = 3_000_000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -115,7 +117,7 @@ def _measure(width: int):
             n = np.diff(np.r_[at, len(h)])
             h, n = _signed(h[at[n > 1]]), n[n > 1]
             k = len(h)
-            return pa.RecordBatch.from_arrays([pa.array([True] * k), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.binary()), pa.array(h), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], NAMES)
+            return pa.RecordBatch.from_arrays([pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.binary()), pa.array(h), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], NAMES)
 
         for b in batches:
             rows = [[], [], [], [], []]
@@ -134,7 +136,7 @@ def _measure(width: int):
                         yield counted()
                         held, size = [], 0
             k = len(rows[0])
-            yield pa.RecordBatch.from_arrays([pa.array([False] * k), b.column("doc_id"), b.column("th"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), *[pa.array(x, pa.int64()) for x in rows[2:]]], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([False] * k, pa.bool_()), b.column("doc_id"), b.column("th"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), *[pa.array(x, pa.int64()) for x in rows[2:]]], NAMES)
         if held:
             yield counted()
 
@@ -144,29 +146,27 @@ def _measure(width: int):
 NAMES = ["is_count", "doc_id", "th", "n", "digest", "p1", "p2", "p3"]
 
 
-def _wanted(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Texts whose hash is among those given (a stored table of distinct th)."""
-    rows = docs.select("th", "text")
-    return rows.join(F.broadcast(hashes) if hashes.count() <= MOST_WANTED else hashes, "th", "left_semi").select("text")
+def _wanted(docs: DataFrame, hashes: DataFrame, *flags: str) -> DataFrame:
+    """Texts whose hash is among those given (a checkpointed table of distinct th), with its flags."""
+    small = hashes.count() <= MOST_WANTED
+    return docs.select("th", "text").join(F.broadcast(hashes) if small else hashes, "th").select("text", *flags)
 
 
 def _near(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links u, v between digests: neighbours in three orders by min-hashes."""
-    found = None
-    counts = [classes.groupBy(p).count().where("count > 1").select(p) for p in ("p1", "p2", "p3")]
-    shared = None
-    for p, own in zip(("p1", "p2", "p3"), counts, strict=True):
-        x = classes.join(own, p, "left_semi").select("th")
-        shared = x if shared is None else shared.unionByName(x)
-    wanted = fixed(shared.distinct())
+    """Links u, v between digests: neighbours in two orders by min-hashes, of classes that share two of their min-hashes with others."""
+    shared = classes.select("th", "p1", "p2", "p3")
+    for p in ("p1", "p2", "p3"):
+        many = classes.groupBy(p).agg(F.count("*").alias(f"of_{p}"))
+        shared = shared.join(many, p)
+    wanted = fixed(shared.where("int(of_p1 > 1) + int(of_p2 > 1) + int(of_p3 > 1) >= 2").groupBy("th").agg(F.max("of_p1").alias("of_p1"), F.max("of_p2").alias("of_p2")))
 
     def sets(batches):
         import pyarrow as pa
 
         seen: set[bytes] = set()
         for b in batches:
-            rows = [[], [], [], [], [], []]
-            for t in b.column("text").to_pylist():
+            rows = [[], [], [], [], [], [], [], []]
+            for t, f1, f2 in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
                 h = shingles(t, width)
                 d = digest(h)
                 if d in seen:
@@ -174,37 +174,59 @@ def _near(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 if len(seen) > 2_000_000:
                     seen.clear()
                 seen.add(d)
-                for to, x in zip(rows, (d, len(h), *min_hashes(h), t), strict=True):
+                for to, x in zip(rows, (d, len(h), *min_hashes(h), f1, f2, t), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), *[pa.array(x, pa.int64()) for x in rows[1:5]], pa.array(rows[5], pa.string())], ["digest", "n", "p1", "p2", "p3", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), *[pa.array(x, pa.int64()) for x in rows[1:7]], pa.array(rows[7], pa.string())], ["digest", "n", "p1", "p2", "p3", "of_p1", "of_p2", "text"])
 
-    texts = stored(_wanted(docs, wanted).mapInArrow(sets, "digest binary, n long, p1 long, p2 long, p3 long, text string"), "near")
+    kind = "digest binary, n long, p1 long, p2 long, p3 long, of_p1 long, of_p2 long, text string"
+    texts = stored(_wanted(docs, wanted, "of_p1", "of_p2").mapInArrow(sets, kind), "near")
 
     def compare(batches):
         import pyarrow as pa
 
-        before: list[tuple] = []
+        # Of a key: digest, hashes, label, links found. Those of one label are linked already. What has linked most stays longest:
+        # of a group of near copies, the ones with the fewest edits link with nearly all others.
+        held: list[list] = []
+        last, labels = None, 0
         for b in batches:
             out = []
             for key, d, t in zip(b.column(0).to_pylist(), b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if before and before[-1][0] != key:
-                    before = []
-                if before and before[-1][1] == d:
+                if last != key:
+                    held, last = [], key
+                if held and held[-1][0] == d:
                     continue
-                h = shingles(t, width)
-                out += [(d, x[1]) for x in before if links(h, x[2], percent)]
-                before = [*before[-NEIGHBOURS + 1 :], (key, d, h)]
+                h, own, hits = shingles(t, width), -1, 0
+                for x in sorted(held, key=lambda x: -x[3]):
+                    if x[2] == own or not links(h, x[1], percent):
+                        continue
+                    out.append((d, x[0]))
+                    x[3] += 1
+                    hits += 1
+                    if own < 0:
+                        own = x[2]
+                    else:
+                        old = x[2]
+                        for y in held:
+                            y[2] = own if y[2] == old else y[2]
+                labels += 1
+                held.append([d, h, labels if own < 0 else own, hits])
+                if len(held) > NEIGHBOURS:
+                    held.pop(min(range(NEIGHBOURS // 2), key=lambda i: (held[i][3], i)))
             u, v = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    for p, q, r in (("p1", "p2", "p3"), ("p2", "p3", "p1"), ("p3", "p1", "p2")):
-        x = texts.repartitionByRange(p, q, r, "n", "digest").sortWithinPartitions(p, q, r, "n", "digest").select(p, "digest", "text").mapInArrow(compare, "u binary, v binary")
+    found = None
+    for p, q, r in (("p1", "p2", "p3"), ("p2", "p3", "p1")):
+        salt = F.pmod(F.xxhash64("digest"), F.ceil(F.col(f"of_{p}") / TOGETHER))  # splits the classes of a very common min-hash
+        x = texts.where(f"of_{p} > 1").withColumn("salt", salt).repartition(p, "salt").sortWithinPartitions(p, "salt", q, r, "n", "digest").select(p, "digest", "text").mapInArrow(compare, "u binary, v binary")
         found = x if found is None else found.unionByName(x)
-    return fixed(found.distinct()), texts
+    found = fixed(found.distinct())
+    drop_stored(texts)
+    return found
 
 
-def _prefixes(docs: DataFrame, frequent: dict[int, int], width: int, percent: int) -> DataFrame:
-    """Per class (at least once): sid, n and the prefix, under the order: rare shingles by hash, then frequent ones by count."""
+def _prefixes(docs: DataFrame, comps: DataFrame, frequent: dict[int, int], width: int, percent: int) -> DataFrame:
+    """Per class (at least once): sid, n, comp and the prefix, under the order: rare shingles by hash, then frequent ones by count. comps: th, comp."""
     late = np.array(sorted(frequent), np.int64)
     late_counts = np.array([frequent[int(k)] for k in late], np.int64)
 
@@ -213,8 +235,8 @@ def _prefixes(docs: DataFrame, frequent: dict[int, int], width: int, percent: in
 
         seen: set[bytes] = set()
         for b in batches:
-            sid, n, prefix = [], [], []
-            for t in b.column("text").to_pylist():
+            sid, n, comp, prefix = [], [], [], []
+            for t, c in zip(b.column("text").to_pylist(), b.column("comp").to_pylist(), strict=True):
                 h = shingles(t, width)
                 d = digest(h)
                 if not len(h) or d in seen:
@@ -235,17 +257,29 @@ def _prefixes(docs: DataFrame, frequent: dict[int, int], width: int, percent: in
                     own = s[:k]
                 sid.append(int.from_bytes(d[:8], "big", signed=True))
                 n.append(len(h))
+                comp.append(sid[-1] if c is None else c)
                 prefix.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["sid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(comp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["sid", "n", "comp", "prefix"])
+
+    small = comps.count() <= MOST_WANTED
+    return docs.join(F.broadcast(comps) if small else comps, "th", "left").select("text", "comp").mapInArrow(run, "sid long, n int, comp long, prefix array<long>")
+
 
-    return docs.select("text").mapInArrow(run, "sid long, n int, prefix array<long>")
+def prefixes_allow(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int = PERCENT) -> bool:
+    """Whether sets of sizes n and m with these prefixes may link. Of the set whose prefix ends first, all that the other shares with it is in both prefixes or behind its own."""
+    common = len(np.intersect1d(a, b))
+    return common + max(n - len(a), m - len(b)) >= required(n, m, percent)
 
 
 def _pairs(percent: int):
-    """Of rows (tok, gid, n, pos, comp) sorted by tok and n: pairs of groups that may link."""
+    """Of rows (tok, gid, n, pos, comp) sorted by tok, n and gid: pairs of groups (same prefix and size) that may link."""
 
     def bucket(gid, n, pos, comp):
         out = []
+        starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])  # one row per group; comp 0: of several components
+        if len(starts) < len(gid):
+            low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
+            gid, n, pos, comp = gid[starts], n[starts], pos[starts], np.where(low == high, low, 0)
         for i in range(len(gid) - 1):
             end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
             j = np.arange(i + 1, max(end, i + 1))
@@ -275,7 +309,7 @@ def _pairs(percent: int):
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 if e - s > 1:
                     comp = columns[4][s:e]
-                    if comp[0] == 0 or (comp != comp[0]).any():
+                    if (comp != comp[0]).any():
                         out += bucket(*[c[s:e] for c in columns[1:]])
             return out
 
@@ -330,6 +364,7 @@ def _verify(pairs: DataFrame, measured: DataFrame, docs: DataFrame, width: int,
 
 def jaccard_rows(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id (long), th (hash of the text), n (set size), top (the component's least digest; null for empty sets), component_id."""
+    spark = docs.sparkSession
     t = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
     measured = stored(rows.mapInArrow(_measure(width), "is_count boolean, doc_id long, th long, n long, digest binary, p1 long, p2 long, p3 long"), "measured")
@@ -339,25 +374,41 @@ def jaccard_rows(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, te
     own = measured.where("not is_count").withColumn("sid", sid)
     classes = fixed(own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("n", "p1", "p2", "p3", "sid")]))
 
-    near, texts = _near(classes, rows, width, percent)
-    drop_stored(texts)
+    near = _near(classes, rows, width, percent)
     early = fixed(components(near))
+    release(spark)
+
+    comps = classes.select("digest", "th").join(early, classes.digest == early.node).select("th", F.conv(F.hex(F.substring("root", 1, 8)), 16, -10).cast("long").alias("comp"))
+    comps = fixed(comps.groupBy("th").agg(F.min("comp").alias("comp")))
+    prefixes = stored(_prefixes(rows, comps, frequent, width, percent).withColumn("gid", F.xxhash64("prefix", "n")), "prefixes")
+    parts = prefixes.select("gid", "n", "comp", F.posexplode("prefix").alias("pos", "tok"))
+    parts = parts.select("tok", "gid", "n", "pos", "comp").repartition("tok").sortWithinPartitions("tok", "n", "gid")
+    pairs = fixed(parts.mapInArrow(_pairs(percent), "a long, b long").distinct())
+    release(spark)
+
+    sides = pairs.select(F.col("a").alias("gid")).unionByName(pairs.select(F.col("b").alias("gid"))).distinct()
+    own_prefix = prefixes.join(sides, "gid", "left_semi").groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    own_prefix = fixed(own_prefix)
+
+    @F.arrow_udf("boolean")
+    def allowed(a, b, n, m):
+        import pyarrow as pa
+
+        x, y = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+        return pa.array([prefixes_allow(*r, percent) for r in zip(x, y, n.to_pylist(), m.to_pylist(), strict=True)], pa.bool_())
+
+    both = pairs.join(own_prefix.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+    both = both.join(own_prefix.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+    pairs = both.where(allowed("pa", "pb", "na", "nb")).select("a", "b")
 
-    comp = early.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("sid"), F.conv(F.hex(F.substring("root", 1, 8)), 16, -10).cast("long").alias("comp"))
-    prefixes = stored(_prefixes(rows, frequent, width, percent).withColumn("gid", F.xxhash64("prefix", "n")), "prefixes")
-    members = prefixes.select("gid", "sid").distinct().join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    members = fixed(members)
-    groups = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(0)).alias("comp"))  # 0: of several components
-    one = prefixes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")) if members.groupBy("gid").count().where("count > 1").limit(1).count() else prefixes.dropDuplicates(["gid"])
-    parts = one.join(groups, "gid").select("gid", "n", "comp", F.posexplode("prefix").alias("pos", "tok"))
-    parts = parts.select("tok", "gid", "n", "pos", "comp").repartition("tok").sortWithinPartitions("tok", "n")
-    pairs = parts.mapInArrow(_pairs(percent), "a long, b long").distinct()
-    inside = groups.where("comp = 0").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    pairs = fixed(pairs.unionByName(inside))
+    members = prefixes.select("gid", "sid", "comp").distinct()
+    mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    pairs = fixed(pairs.unionByName(mixed.select(F.col("gid").alias("a"), F.col("gid").alias("b"))))
     ma, mb = (members.select(F.col("gid").alias(g), F.col("sid").alias(f"s{g}"), F.col("comp").alias(f"c{g}")) for g in "ab")
     wide = pairs.join(ma, "a").join(mb, "b").where((F.col("ca") != F.col("cb")) & (F.col("sa") != F.col("sb")))
     wide = fixed(wide.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct())
     drop_stored(prefixes)
+    release(spark)
     late = _verify(wide, own, rows, width, percent)
 
     node_root = early.select(F.col("node"), F.col("root"))
