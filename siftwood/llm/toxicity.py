@@ -45,7 +45,7 @@ SEPARATORS = set("._-*~ '/\\|,:;·")
 LEET_COST, REPEAT_COST, SEPARATOR_COST, OTHER_COST = -1.0, -1.0, -0.5, -6.0
 LONGEST = 40
 SPACED = re.compile(r"(?<!\S)\S(?:[ ._\-*]\S){3,}(?!\S)")
-REPEATED = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+REPEATED = re.compile(r"([^\W\d_])\1")
 SIGNS = re.compile(r"[0-9@$!|+(€£¡*#]")
 MARKED = re.compile(r"[^\W\d_](?:[._\-*~'/\\|·][^\W_]){2,}|[^\W\d_][._\-*~][^\W\d_]")
 EDGES = " \t.,;:!?\"'()[]{}<>&%#*$|-_«»¿¡"

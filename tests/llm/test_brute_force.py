@@ -262,3 +262,17 @@ def test_pipeline_equals_stages_by_hand(spark):
     rows = P.run(spark, SF).collect()
     assert {r.doc_id: r.n_tokens for r in rows} == {d: len(codec(BYTE).encode(t or "")) // 4 for d, t in kept.items()}
     assert [n for n, _ in P.STAGES] == ["toxicity", "quality_rules", "ngram_jaccard_join", "decontamination", "bpe"]
+
+
+@pytest.fixture(scope="module")
+def reader(texts):
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    for t in [*texts.values(), "idiot moron loser pathetic worthless disgusting stupid trash complete"]:
+        c = toxicity.codes(f" {t} ")
+        np.add.at(counts, c[:-2] * 4096 + c[1:-1] * 64 + c[2:], 1)
+    return toxicity.Reader(toxicity.Channel(counts))
+
+
+@pytest.mark.parametrize(("seen", "want"), [("stuupid", "stupid"), ("idiiot", "idiot"), ("moronn", "moron"), ("loserr", "loser"), ("sstupid", "stupid")])
+def test_one_doubled_letter_is_restored(reader, seen, want):
+    assert {seen, want} <= set(reader.forms(seen))
