@@ -5,9 +5,11 @@
 2. Channel: a suspicious token (leetspeak signs among letters, repeated letters,
    letters spaced out by blanks or marks) becomes a lattice: each observed
    character may stand for letters, for a repetition, or for a separator, at a
-   price. Viterbi decoding under the character model gives the restored word.
+   price. Viterbi decoding under the character model gives the restored word; in
+   a run of letters that stand apart, any letter may also begin a new word.
 3. Score: a logistic model over features of the words as they are and as restored
-   (words, and their beginnings of 4 to 6 letters). Features are those that toxic
+   (words, and their beginnings of 4 to 6 letters; of runs also 5 and 6 letters from
+   every letter on, as words' ends are guesses there). Features are those that toxic
    rows hold more often than chance over all candidates allows.
 
 The classifier is fitted on MOST_LABELLED labelled rows of either class at most,
@@ -43,8 +45,11 @@ SIZE = 64
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h"}
 SEPARATORS = set("._-*~ '/\\|,:;·")
 LEET_COST, REPEAT_COST, SEPARATOR_COST, OTHER_COST = -1.0, -1.0, -0.5, -6.0
+#: Price of no word's end at a gap wider than the run's least one; lengths of features taken at every letter of a run.
+WIDE_COST, INNER = -3.0, (5, 6)
 LONGEST = 40
-SPACED = re.compile(r"(?<!\S)\S(?:[ ._\-*]\S){3,}(?!\S)")
+#: Four letters or more that stand apart, behind any number of separators each; the two classes share no sign, so matching takes linear time.
+SPACED = re.compile(r"(?<![^\s._\-*~'/\\|,:;·])([^\s._\-*~'/\\|,:;·](?:[\s._\-*~'/\\|,:;·]++[^\s._\-*~'/\\|,:;·]){3,})[!?\")\]]*+(?![^\s._\-*~'/\\|,:;·])")
 REPEATED = re.compile(r"([^\W\d_])\1")
 SIGNS = re.compile(r"[0-9@$!|+(€£¡*#]")
 MARKED = re.compile(r"[^\W\d_](?:[._\-*~'/\\|·][^\W_]){2,}|[^\W\d_][._\-*~][^\W\d_]")
@@ -104,12 +109,11 @@ class Channel:
 
     def options(self, token: str) -> list[list[tuple[str, float]]]:
         """Per observed character, the letters it may stand for ('' for none) and their prices."""
-        out = []
+        out, before = [], ""
         for i, c in enumerate(token):
             own = []
             if c in LETTERS:
                 own.append((c, 0.0))
-                before = next((x for x in reversed(token[:i]) if x not in SEPARATORS), "")
                 if c == before:
                     own.append(("", REPEAT_COST))
             own += [(x, LEET_COST) for x in LEET.get(c, "")]
@@ -117,6 +121,8 @@ class Channel:
                 own.append(("", REPEAT_COST))
             if c in SEPARATORS:
                 own.append(("", SEPARATOR_COST))
+            if c not in SEPARATORS:
+                before = c
             out.append(own or [("", OTHER_COST)])
         return out
 
@@ -136,6 +142,40 @@ class Channel:
             best = new
         return max(((s + float(self.log[a, b, 0]), x) for (a, b), (s, x) in best.items()), key=lambda y: (y[0], y[1]))[1]
 
+    def words(self, run: str) -> list[str]:
+        """The words of a run whose words' ends are not known: any letter may begin one. Time is in proportion to the length."""
+        signs, gap = [], 0
+        for options in self.options(run):
+            if any(letter for letter, _ in options):
+                signs.append((gap, options))
+                gap = 0
+            else:  # separators, and signs that stand for nothing, cost all paths the same
+                gap += 1
+        least = min((g for g, _ in signs[1:]), default=0)
+        log, best = self.log, {(0, 0): (0.0, None)}
+        for gap, options in signs:
+            wide = WIDE_COST if gap > least else 0.0
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, said) in best.items():
+                for letter, price in options:
+                    if not letter:
+                        ways = [((a, b), score + price, said)]
+                    else:
+                        c = LETTERS.index(letter) + 1
+                        ways = [((b, c), score + price + wide * (b > 0) + float(log[a, b, c]), (said, letter))]
+                        if b:
+                            ways.append(((0, c), score + price + float(log[a, b, 0]) + float(log[b, 0, c]), ((said, " "), letter)))
+                    for key, s, x in ways:
+                        if key not in new or s > new[key][0]:
+                            new[key] = (s, x)
+            best = new
+        said = max(((s + float(log[a, b, 0]), (a, b), x) for (a, b), (s, x) in best.items()), key=lambda y: y[:2])[2]
+        letters = []
+        while said:
+            said, letter = said
+            letters.append(letter)
+        return "".join(reversed(letters)).split()
+
 
 def suspicious(token: str) -> bool:
     return len(token) <= LONGEST and (bool(REPEATED.search(token)) or any(c.isalpha() for c in token) and (bool(SIGNS.search(token)) or bool(MARKED.search(token))))
@@ -173,22 +213,31 @@ class Reader:
     def features(form: str) -> list[str]:
         return [f"={form}", *[f"^{form[:k]}" for k in (4, 5, 6) if len(form) > k]] if len(form) <= LONGEST else []
 
+    @staticmethod
+    def inner_features(run: str) -> list[str]:
+        """Features at every letter of a run, wherever its words may begin."""
+        return [f for i in range(len(run)) for k in INNER if i + k <= len(run) for f in (f"={run[i : i + k]}", f"^{run[i : i + k]}")]
+
+    def spaced_words(self, low: str) -> list[list[str]]:
+        """Of each run of letters that stand apart, the restored words."""
+        runs = [m[1] for m in SPACED.finditer(low)]
+        return [self.channel.words(r) for r in runs if sum(c in LETTERS or c in LEET for c in r) >= 4]
+
     def spaced(self, low: str) -> list[str]:
         """Restored words of letters that stand apart."""
-        out = []
-        for m in SPACED.finditer(low):
-            run = m.group()
-            for k in range(0, len(run), LONGEST):
-                part = run[k : k + LONGEST]
-                if sum(c in LETTERS or c in LEET for c in part) >= 4:
-                    out.append(self.restore(part))
+        return [w for words in self.spaced_words(low) for w in words]
+
+    def spaced_features(self, low: str) -> set[str]:
+        out: set[str] = set()
+        for words in self.spaced_words(low):
+            out.update(f for w in words for f in self.features(w))
+            out.update(self.inner_features("".join(words)))
         return out
 
     def text_features(self, text: str) -> set[str]:
         low = text.lower()
         forms = {x for t in set(low.split()) for x in self.forms(t)}
-        forms.update(self.spaced(low))
-        return {f for x in forms for f in self.features(x)}
+        return {f for x in forms for f in self.features(x)} | self.spaced_features(low)
 
 
 class Model:
@@ -219,8 +268,7 @@ class Model:
                 own = make(t)
             if own:
                 found.update(own)
-        for x in self.reader.spaced(low):
-            found.update(self.known(x))
+        found.update(f for f in self.reader.spaced_features(low) if f in self.weights)
         own = [self.weights[f] for f in sorted(found)]
         z = max([self.bias + sum(w for w, _ in own), *[least for _, least in own]])
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))

@@ -276,3 +276,21 @@ def reader(texts):
 @pytest.mark.parametrize(("seen", "want"), [("stuupid", "stupid"), ("idiiot", "idiot"), ("moronn", "moron"), ("loserr", "loser"), ("sstupid", "stupid")])
 def test_one_doubled_letter_is_restored(reader, seen, want):
     assert {seen, want} <= set(reader.forms(seen))
+
+
+def spaced_finds(reader, text, *words):
+    """Whether the text's features hold each word or its first five or six letters."""
+    seen = reader.text_features(text)
+    return all({f"={w}", f"^{w[:5]}", f"^{w[:6]}"} & seen for w in words)
+
+
+def test_spaced_words_are_found_wherever_they_stand(reader):
+    long = " ".join("patheticworthlessdisgusting")
+    assert spaced_finds(reader, f"you are {long} you know", "pathetic", "worthless", "disgusting")
+    assert spaced_finds(reader, "a s t u p i d", "stupid")
+    assert spaced_finds(reader, "s t u p i d i d i o t", "stupid", "idiot")
+    assert spaced_finds(reader, "s t u p i d   i d i o t!", "stupid", "idiot")
+    assert spaced_finds(reader, "s  t  u  p  i  d", "stupid")
+    assert spaced_finds(reader, "m - o - r - o - n and s\nt\nu\np\ni\nd", "moron", "stupid")
+    assert spaced_finds(reader, f"{'x y z ' * 4000}i d i o t", "idiot")
+    assert not spaced_finds(reader, "such a good day", "stupid")
