@@ -6,10 +6,11 @@
    letters spaced out by blanks or marks) becomes a lattice: each observed
    character may stand for letters, for a repetition, or for a separator, at a
    price. Viterbi decoding under the character model gives the restored word; in
-   a run of letters that stand apart, any letter may also begin a new word.
+   a run of letters that stand apart or a token of more than LONGEST signs, any
+   letter may also begin a new word.
 3. Score: a logistic model over features of the words as they are and as restored
-   (words, and their beginnings of 4 to 6 letters; of runs also 5 and 6 letters from
-   every letter on, as words' ends are guesses there). Features are those that toxic
+   (words, and their beginnings of 4 to 6 letters; of runs and long tokens also 5 and
+   6 letters from every letter on, as words' ends are guesses there). Features are those that toxic
    rows hold more often than chance over all candidates allows.
 
 The classifier is fitted on MOST_LABELLED labelled rows of either class at most,
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,7 +49,13 @@ SEPARATORS = set("._-*~ '/\\|,:;·")
 LEET_COST, REPEAT_COST, SEPARATOR_COST, OTHER_COST = -1.0, -1.0, -0.5, -6.0
 #: Price of no word's end at a gap wider than the run's least one; lengths of features taken at every letter of a run.
 WIDE_COST, INNER = -3.0, (5, 6)
+#: Signs up to which a token counts as one word; in longer ones words may begin at any letter.
 LONGEST = 40
+COLLAPSED = re.compile(r"(.)\1{2,}", re.DOTALL)
+GAPS = re.compile(r"[\s._\-*~'/\\|,:;·]{4,}")
+#: Signs of a run that are decoded at once, and those that the next piece repeats: 100 letters or more.
+WINDOW, OVERLAP = 8192, 400
+PARTS = re.compile(r"[._\-*~'/\\|,:;·]+")
 #: Four letters or more that stand apart, behind any number of separators each; the two classes share no sign, so matching takes linear time.
 SPACED = re.compile(r"(?<![^\s._\-*~'/\\|,:;·])([^\s._\-*~'/\\|,:;·](?:[\s._\-*~'/\\|,:;·]++[^\s._\-*~'/\\|,:;·]){3,})[!?\")\]]*+(?![^\s._\-*~'/\\|,:;·])")
 REPEATED = re.compile(r"([^\W\d_])\1")
@@ -197,47 +205,68 @@ class Reader:
             x = self.restored[token] = self.channel.decode(token)
         return x
 
+    def own_forms(self, core: str) -> list[str]:
+        return [core, self.restore(core)] if suspicious(core) else [core]
+
     def forms(self, token: str) -> list[str]:
-        """The word in a lower-case token, and its restored form."""
+        """The word in a lower-case token, its parts between separators, and their restored forms."""
         core = token.strip(EDGES)
-        out = [core] if core else []
-        if suspicious(core):
-            out.append(self.restore(core))
+        out = self.own_forms(core) if len(core) <= LONGEST else []
+        parts = PARTS.split(core)
+        if len(parts) > 1:
+            out += [x for p in parts if len(p) <= LONGEST for x in self.own_forms(p)]
         if core != token:  # signs at the edges may stand for letters
             edge = token.strip(" \t.,;:?\"'[]{}<>&%-_«»¿")
             if edge != core and SIGNS.search(edge) and any(c.isalpha() for c in edge) and len(edge) <= LONGEST and len(edge) - len(core) <= 2:
                 out.append(self.restore(edge))
         return list(dict.fromkeys(x for x in out if x))
 
+    def token_features(self, token: str) -> Iterator[str]:
+        """Features of a lower-case token of any length; long repetitions in long ones count as two."""
+        if len(token) > LONGEST:
+            token = COLLAPSED.sub(r"\1\1", token)
+        for x in self.forms(token):
+            yield from self.features(x)
+        if len(token) > LONGEST:
+            yield from self.run_features(token)
+
     @staticmethod
     def features(form: str) -> list[str]:
-        return [f"={form}", *[f"^{form[:k]}" for k in (4, 5, 6) if len(form) > k]] if len(form) <= LONGEST else []
+        return [f"={form}", *[f"^{form[:k]}" for k in (4, 5, 6) if len(form) > k]]
+
+    def run_words(self, run: str) -> Iterator[list[str]]:
+        """The restored words of a run, in overlapping pieces."""
+        run = GAPS.sub(lambda m: m[0][:3], run)
+        for k in range(0, max(len(run) - OVERLAP, 1), WINDOW - OVERLAP):
+            yield self.channel.words(run[k : k + WINDOW])
+
+    def run_features(self, run: str) -> Iterator[str]:
+        """Features of a run's words, and those at every letter, wherever its words may begin."""
+        for words in self.run_words(run):
+            for w in words:
+                yield from self.features(w)
+            joined = "".join(words)
+            for k in INNER:
+                for i in range(len(joined) - k + 1):
+                    yield f"={joined[i : i + k]}"
+                    yield f"^{joined[i : i + k]}"
 
     @staticmethod
-    def inner_features(run: str) -> list[str]:
-        """Features at every letter of a run, wherever its words may begin."""
-        return [f for i in range(len(run)) for k in INNER if i + k <= len(run) for f in (f"={run[i : i + k]}", f"^{run[i : i + k]}")]
-
-    def spaced_words(self, low: str) -> list[list[str]]:
-        """Of each run of letters that stand apart, the restored words."""
-        runs = [m[1] for m in SPACED.finditer(low)]
-        return [self.channel.words(r) for r in runs if sum(c in LETTERS or c in LEET for c in r) >= 4]
+    def spaced_runs(low: str) -> list[str]:
+        """Runs of letters that stand apart."""
+        return [m[1] for m in SPACED.finditer(low) if sum(c in LETTERS or c in LEET for c in m[1]) >= 4]
 
     def spaced(self, low: str) -> list[str]:
         """Restored words of letters that stand apart."""
-        return [w for words in self.spaced_words(low) for w in words]
+        return [w for r in self.spaced_runs(low) for words in self.run_words(r) for w in words]
 
-    def spaced_features(self, low: str) -> set[str]:
-        out: set[str] = set()
-        for words in self.spaced_words(low):
-            out.update(f for w in words for f in self.features(w))
-            out.update(self.inner_features("".join(words)))
-        return out
+    def spaced_features(self, low: str) -> Iterator[str]:
+        for r in self.spaced_runs(low):
+            yield from self.run_features(r)
 
     def text_features(self, text: str) -> set[str]:
         low = text.lower()
-        forms = {x for t in set(low.split()) for x in self.forms(t)}
-        return {f for x in forms for f in self.features(x)} | self.spaced_features(low)
+        return {f for t in set(low.split()) for f in self.token_features(t)}.union(self.spaced_features(low))
 
 
 class Model:
@@ -247,11 +276,8 @@ class Model:
         self.reader, self.weights, self.bias = reader, weights, bias
         self.memo: dict[str, tuple[str, ...]] = {}
 
-    def known(self, form: str) -> tuple[str, ...]:
-        return tuple(f for f in self.reader.features(form) if f in self.weights)
-
     def token(self, token: str) -> tuple[str, ...]:
-        own = tuple(f for x in self.reader.forms(token) for f in self.known(x))
+        own = tuple(dict.fromkeys(f for f in self.reader.token_features(token) if f in self.weights))
         if len(token) <= LONGEST:
             if len(self.memo) > MEMO_ROWS:
                 self.memo.clear()

@@ -294,3 +294,14 @@ def test_spaced_words_are_found_wherever_they_stand(reader):
     assert spaced_finds(reader, "m - o - r - o - n and s\nt\nu\np\ni\nd", "moron", "stupid")
     assert spaced_finds(reader, f"{'x y z ' * 4000}i d i o t", "idiot")
     assert not spaced_finds(reader, "such a good day", "stupid")
+
+
+def test_long_tokens_are_read(reader):
+    assert spaced_finds(reader, "i" * 300 + "diot", "idiot")
+    assert spaced_finds(reader, "you.are.a.complete.idiot.and.also.a.worthless.moron", "idiot", "moron", "worthless")
+    assert spaced_finds(reader, "you_are_a_complete_1d10t_and_also_a_worthless_m0r0n", "idiot", "moron", "worthless")
+    assert spaced_finds(reader, "you-are-an-idiot", "idiot")
+    assert spaced_finds(reader, "thisisatextwithoutanyblanks" * 100 + "butyouareaworthlessidiot" + "andsoitgoeson" * 100, "idiot", "worthless")
+    assert not spaced_finds(reader, "thisisatextwithoutanyblanks" * 100, "idiot")
+    for at in (8100, 8170, 8185, 8200):  # across the ends of decoded pieces
+        assert spaced_finds(reader, ("xyz" * 4000)[:at] + "disgusting" + "xyz" * 4000, "disgusting")
