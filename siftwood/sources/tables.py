@@ -31,18 +31,18 @@ def spread(files: DataFrame, partitions: int) -> DataFrame:
 
 
 def container_type() -> Column:
-    """What a file is, by its first bytes, in order of precedence."""
+    """What a file is, by its first bytes or by what stands anywhere in it, in order of precedence."""
     c = F.col("content")
-    head = F.substring(c, 1, 4096)
-    text = F.make_valid_utf8(head.cast("string"))
+    text = F.decode(c, "ISO-8859-1")  # a sign per byte
     low = F.lower(text)
+    xml = text.rlike(r"\A(\xEF\xBB\xBF)?\s*<")  # mail may quote a namespace too
     start = lambda x: F.hex(F.substring(c, 1, len(x) // 2)) == x.upper()
     near = F.abs(F.locate("mime", low) - F.locate("version", low)) < 20
     return (
         F.when(start("D0CF11E0A1B11AE1"), F.when(F.contains(F.lower(F.decode(c, "ISO-8859-1")), F.lit("p\0o\0w\0e\0r\0p\0o\0i\0n\0t\0 \0d\0o\0c\0u\0m\0e\0n\0t\0")), "PPT").otherwise("OLE"))
         .when(start("504B0304"), "OpenXML")
-        .when(F.contains(text, F.lit("http://schemas.microsoft.com/office/word/2003/wordml")), "Word2003_XML")
-        .when(F.contains(text, F.lit("http://schemas.microsoft.com/office/2006/xmlPackage")), "FlatOPC_XML")
+        .when(xml & F.contains(text, F.lit(formats.WORD_2003.decode())), "Word2003_XML")
+        .when(xml & F.contains(text, F.lit(formats.FLAT_OPC.decode())), "FlatOPC_XML")
         .when(F.contains(low, F.lit("mime")) & F.contains(low, F.lit("version")) & F.contains(low, F.lit("multipart")) & near, "MHTML")
         .when(start("7B5C7274"), "RTF")
         .when(start("4944"), "SLK")
@@ -217,10 +217,11 @@ def inner_ole(data: bytes) -> Iterator[bytes]:
         yield from ([data] if main is None else formats.ppt_storages(main))
     elif data.startswith(b"PK\x03\x04"):
         yield from (c for _, c, _ in formats.zip_parts(data) if c and c.startswith(cfb.MAGIC))
-    elif b"http://schemas.microsoft.com/office/2006/xmlPackage" in data[:4096]:
-        yield from formats.flat_opc_projects(data)
-    elif b"http://schemas.microsoft.com/office/word/2003/wordml" in data[:4096]:
-        yield from formats.word2003_objects(data)
+    elif formats.is_xml(data) and (formats.FLAT_OPC in data or formats.WORD_2003 in data):
+        if formats.FLAT_OPC in data:
+            yield from formats.flat_opc_projects(data)
+        if formats.WORD_2003 in data:
+            yield from formats.word2003_objects(data)
     elif formats.is_mhtml(data):
         for _, _, part in formats.mail_parts(data):
             if part.startswith(b"ActiveMime"):

@@ -128,3 +128,29 @@ def test_entry_points_import():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_container_marks_behind_the_first_4096_bytes(spark):
+    from siftwood.plans.catalog import office_file
+    from siftwood.streaming import mail
+
+    code, pad = "Sub AutoOpen()\nShell \"x\", 1\nOpen \"f\" For Output As #1\nEnd Sub", "p" * 5000
+    word, flat, mht = (office_file(k, code) for k in (2, 3, 4))
+    declared = b'<?xml version="1.0"?>'
+    commented = declared + f"<!-- {pad} -->".encode()
+    namespace = b"http://schemas.microsoft.com/office/word/2003/wordml"
+    far = {
+        "Word2003_XML": word.replace(declared, commented),
+        "FlatOPC_XML": flat.replace(declared, commented),
+        "MHTML": f"X-Pad: {pad}\n".encode() + mht,
+        "MHTML that quotes a namespace": mht.replace(b"--b--\n", b"--b\nContent-Type: text/html\n\n<html xmlns:w='" + namespace + b"'>\n--b--\n"),
+        "Text": pad.encode() + b" " + namespace,
+    }
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in far.items()], "file_id string, content binary")
+    kinds = {r.file_id: r.container for r in files.select("file_id", tables.container_type().alias("container")).collect()}
+    assert kinds == {k: k.split()[0] for k in far}
+    found = {r.file_id: r.code for r in tables.macros(files).collect()}
+    assert found == {k: code for k in far if k != "Text"}
+    attached = b'Content-Type: multipart/mixed; boundary="m"\nMIME-Version: 1.0\n\n--m\nContent-Type: application/xml; name="a.xml"\nContent-Disposition: attachment; filename="a.xml"\n\n' + far["Word2003_XML"] + b"\n--m--\n"
+    row = mail.actions(spark.createDataFrame([("m", bytearray(attached))], "file_id string, content binary")).collect()[0]
+    assert (row.attachments, row.action) == (1, "REPLACE")
