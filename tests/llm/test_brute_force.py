@@ -305,3 +305,26 @@ def test_long_tokens_are_read(reader):
     assert not spaced_finds(reader, "thisisatextwithoutanyblanks" * 100, "idiot")
     for at in (8100, 8170, 8185, 8200):  # across the ends of decoded pieces
         assert spaced_finds(reader, ("xyz" * 4000)[:at] + "disgusting" + "xyz" * 4000, "disgusting")
+
+
+def test_pipeline_stage_links_from_80_percent_of_five_word_shingles(spark):
+    import corpus_pipeline as P
+
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(100_000)}"
+    rows = []
+    for i, added in enumerate([0, 50, 90, 100, 120, 124, 126, 150, 300]):  # 500 shingles, and a copy with words appended
+        base = [word() for _ in range(504)]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base + [word() for _ in range(added)]))]
+    for i, changed in enumerate([5, 9, 10, 11, 12, 13, 20], 20):  # words changed within
+        base = [word() for _ in range(504)]
+        copy = list(base)
+        for at in rng.choice(504, changed, replace=False):
+            copy[at] = word()
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(copy))]
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    gone = {d for d in sets if d % 10 and linked(sets[d - 1], sets[d])}
+    assert 31 in gone and any(100 * len(sets[d - 1] & sets[d]) < 85 * len(sets[d - 1] | sets[d]) for d in gone)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in P.ngram_jaccard_join(spark, docs, SF).collect()} == set(sets) - gone
