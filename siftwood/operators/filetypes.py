@@ -21,7 +21,7 @@ def file_keys(files: DataFrame) -> DataFrame:
             entries = cfb.CompoundFile(data.ljust(1536, b"\0")).entries
             yield "OLE", (entries[0].clsid if entries else "")
         elif data.startswith(b"PK\x03\x04"):
-            parts = {n: c for n, c, _ in formats.zip_parts(data)}
+            parts = {n: c for n, c, _, _ in formats.zip_parts(data) if n in ("_rels/.rels", "[Content_Types].xml")}
             kind, container = "", "Zip"
             if parts.get("_rels/.rels") and parts.get("[Content_Types].xml"):
                 container = "OpenXML"

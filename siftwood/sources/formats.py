@@ -1,6 +1,6 @@
 """Readers of other formats: RTF, embedded objects, packages, XML parts, mail, BIFF, PPT records, property sets. No Spark here.
 
-Whatever is untrusted is bounded: inflated sizes, nesting, members.
+Whatever is untrusted is bounded: inflated sizes, nesting.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ import base64
 import binascii
 import hashlib
 import io
+import itertools
+import lzma
 import re
 import struct
 import zipfile
@@ -201,14 +203,19 @@ def active_mime(data: bytes) -> bytes:
     """The compound file in an ActiveMime container."""
     if not data.startswith(b"ActiveMime"):
         raise ValueError("no ActiveMime")
-    offsets = ([struct.unpack_from("<H", data, 0x1E)[0] + 46] if len(data) >= 0x20 else []) + [0x32, 0x22A] + [m.start() for m in re.finditer(b"x", data)]
-    for o in offsets[:64]:
+    offsets = ([struct.unpack_from("<H", data, 0x1E)[0] + 46] if len(data) >= 0x20 else []) + [0x32, 0x22A]
+    whole, part = memoryview(data), b""
+    for o in itertools.chain(offsets, (m.start() for m in re.finditer(rb"x[\x01\x5e\x9c\xda]", data))):  # the only second bytes with which "x" begins a stream
+        engine = zlib.decompressobj()
         try:
-            out = zlib.decompressobj().decompress(data[o:], MOST)
+            out = engine.decompress(whole[o:], MOST)
         except zlib.error:
             continue
-        if out:
+        if out and engine.eof:
             return out
+        part = part or out  # cut short: only if no stream is whole
+    if part:
+        return part
     raise ValueError("nothing to inflate")
 
 
@@ -263,20 +270,21 @@ def is_mhtml(data: bytes) -> bool:
 # --- packages and XML ------------------------------------------------------------
 
 
-def zip_parts(data: bytes, password: str | None = None) -> list[tuple[str, bytes | None, bool]]:
-    """(name, contents or None, encrypted) of a package's members, each of bounded size."""
-    out = []
+def zip_parts(data: bytes, password: str | None = None) -> Iterator[tuple[str, bytes | None, bool, str | None]]:
+    """(name, contents or None, encrypted, error) of all members of a package; the first MOST bytes of each, with an error where it has more."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for info in z.infolist()[:10_000]:
+        for info in z.infolist():
             if info.is_dir():
                 continue
             locked = bool(info.flag_bits & 1)
             try:
                 with z.open(info, pwd=password.encode() if password and locked else None) as f:
-                    out.append((info.filename, f.read(MOST), locked))
-            except (RuntimeError, zipfile.BadZipFile, zlib.error, NotImplementedError):
-                out.append((info.filename, None, locked))
-    return out
+                    held = f.read(MOST)
+                    more = len(held) == MOST and f.read(1)
+                row = info.filename, held, locked, f"longer than {MOST} bytes" if more else None
+            except (RuntimeError, zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, OSError, ValueError, lzma.LZMAError) as e:
+                row = info.filename, None, locked, str(e) or type(e).__name__
+            yield row
 
 
 def _parse(data: bytes) -> ElementTree.Element:

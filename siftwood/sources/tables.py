@@ -216,7 +216,7 @@ def inner_ole(data: bytes) -> Iterator[bytes]:
         main = next((c for e, c in f.streams(False) if e.path == "PowerPoint Document"), None)
         yield from ([data] if main is None else formats.ppt_storages(main))
     elif data.startswith(b"PK\x03\x04"):
-        yield from (c for _, c, _ in formats.zip_parts(data) if c and c.startswith(cfb.MAGIC))
+        yield from (c for _, c, _, _ in formats.zip_parts(data) if c and c.startswith(cfb.MAGIC))
     elif formats.is_xml(data) and (formats.FLAT_OPC in data or formats.WORD_2003 in data):
         if formats.FLAT_OPC in data:
             yield from formats.flat_opc_projects(data)
@@ -272,7 +272,7 @@ def rtf_fields(files: DataFrame) -> DataFrame:
 
 
 def zip_parts(files: DataFrame) -> DataFrame:
-    return generate(files, lambda d: formats.zip_parts(d), "part string, data binary, encrypted boolean")
+    return generate(files, lambda d: formats.zip_parts(d), "part string, data binary, encrypted boolean, error string")
 
 
 def xml_elements(files: DataFrame, tags: str | None = None) -> DataFrame:

@@ -127,3 +127,37 @@ def test_csv_links():
             assert csv_links(f"a{delimiter}{cell}{delimiter}b\n"), (delimiter, quote)
     for innocent in ("a,b,c\n1,2,3\n", "", "=SUM(a1:a2)", "plain | text!"):
         assert csv_links(innocent) == []
+
+
+def padded_package(ole, n=10_050):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(n):
+            z.writestr(f"p{i}", b"")
+        z.writestr("word/vbaProject.bin", ole)
+    return out.getvalue()
+
+
+def test_all_members_of_a_package_are_read(monkeypatch):
+    ole = cfb.write({"a": b"x" * 5000})
+    data = padded_package(ole)
+    assert len(list(formats.zip_parts(data))) == 10_051
+    assert list(tables.inner_ole(data)) == [ole]
+    monkeypatch.setattr(formats, "MOST", 100)
+    rows = {name: (part, error) for name, part, _, error in formats.zip_parts(padded_package(ole, 1))}
+    assert rows == {"p0": (b"", None), "word/vbaProject.bin": (ole[:100], "longer than 100 bytes")}
+    monkeypatch.setattr(formats, "MOST", len(ole))
+    assert [e for *_, e in formats.zip_parts(padded_package(ole, 1))] == [None, None]
+
+
+def test_active_mime_behind_many_decoys():
+    import zlib
+
+    head = b"ActiveMime" + bytes(0x232)
+    for decoys in (b"x" * 5000, b"x\x9c" * 5000):
+        assert formats.active_mime(head + decoys + zlib.compress(b"content")) == b"content"
+    with pytest.raises(ValueError):
+        formats.active_mime(head + b"x" * 5000)
