@@ -7,14 +7,18 @@ All but the Dridex and expression decoders are JVM expressions. Patterns get
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
 
-#: Expressions per array: longer ones exceed the JVM's method size in generated code.
-CHUNK = 40
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def collapse_long_lines(code: Column) -> Column:
@@ -51,40 +55,58 @@ def plain_tokens(code: Column) -> Column:
     low = F.lower(code)
     for odd, plain in (("\u017f", "s"), ("\u0131", "i"), ("i\u0307", "i")):
         low = F.replace(low, F.lit(odd), F.lit(plain))
-    return F.array_distinct(F.split(low, r"(?U)\W+"))
+    words = F.when(code.rlike(r"[^\x00-\x7F]"), F.split(low, r"(?U)\W+")).otherwise(F.split(low, r"\W+"))  # the Unicode classes are slow
+    return F.array_distinct(words)
 
 
-def _guard(part: list[tuple[str, str]], tokens: Column) -> Column:
-    """Whether a text with these tokens may hold one of the keywords: their first words, or for patterns their fixed letters."""
-    words, ends = set(), set()
-    for _, pattern in part:
+def _tables(table: list[tuple[str, str]]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Rows (ord, words, pattern, description) of keywords that are words, in fixed order or alone; of word endings; and of what takes a pattern in any case, with its words' beginnings."""
+    words, endings, rest = [], [], []
+    for i, (d, pattern) in enumerate(table):
         body = pattern.removeprefix(r"(?iU)\b").removesuffix(r"\b")
         if body.startswith(r"\w+_"):
-            ends.add(body[3:].lower())
-            continue
-        letters = re.match(r"(?:\(\?<![^)]*\))?(?:\\\.\\s\*)?(\w+)", body)
-        first = letters[1].lower()
-        if letters.end() < len(body) and body[letters.end()] in "?[(":
-            ends.add(first[:-1] if body[letters.end()] == "?" else first)  # the word may go on
+            endings.append((i, [body[4:].lower()], pattern, d))
+        elif re.fullmatch(r"(?:\w|\\\W|-)+", body):
+            words.append((i, re.findall(r"\w+", re.sub(r"\\(\W)", r" \1", body).lower()), pattern, d))
         else:
-            words.add(first)
-    out = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in sorted(words)])) if words else F.lit(False)
-    if ends:
-        some = "|".join(re.escape(e) for e in sorted(ends))
-        out = out | F.exists(tokens, lambda t: t.rlike(some))
-    return out
+            first = re.match(r"(?:\(\?<![^)]*\))?(?:\\\.\\s\*)?(\w+)", body)
+            rest.append((i, [first[1].lower()[:-1] if body[first.end() :].startswith("?") else first[1].lower()], pattern, d))
+    return words, endings, rest
+
+
+def _rows(rows: list[tuple]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("ord"), F.array(*map(F.lit, w)).alias("words"), F.lit(p).alias("pattern"), F.lit(d).alias("description")) for i, w, p, d in rows])
 
 
 def find_keywords(code: Column, table: list[tuple[str, str]], note: Column | None = None, tokens: Column | None = None) -> Column:
-    """Array of (ord, keyword as found first, description) of the table's keywords in the code. tokens: plain_tokens(), so that texts without any are passed over."""
+    """Array of (ord, keyword as found first, description) of the table's keywords in the code. tokens: plain_tokens().
+
+    A keyword's pattern is looked for only where all of its words are among the tokens: these are intersected with the
+    table's words once."""
     suffix = note if note is not None else F.lit("")
-    parts = []
-    for at in range(0, len(table), CHUNK):
-        chunk = table[at : at + CHUNK]
-        own = [F.struct(F.lit(i).alias("ord"), F.regexp_extract(code, p, 0).alias("keyword"), F.concat(F.lit(d), suffix).alias("description")) for i, (d, p) in enumerate(chunk, at)]
-        found = F.filter(F.array(*own), lambda x: x["keyword"] != "")
-        parts.append(found if tokens is None else F.when(_guard(chunk, tokens), found).otherwise(F.array().cast(FOUND)))
-    return F.concat(*parts)
+    words, endings, rest = _tables(table)
+
+    def known(rows: list[tuple], have: Column) -> Column:
+        every = F.array(*[F.lit(w) for w in dict.fromkeys(w for _, ws, _, _ in rows for w in ws)])
+
+        def found(met: Column) -> Column:
+            some = F.filter(_rows(rows), lambda r: F.forall(r["words"], lambda w: F.array_contains(met, w)))
+            hits = F.transform(some, lambda r: F.struct(r["ord"].alias("ord"), F.call_function("regexp_extract", code, r["pattern"], F.lit(0)).alias("keyword"), F.concat(r["description"], suffix).alias("description")))
+            return F.when(F.size(met) > 0, hits).otherwise(F.array().cast(FOUND))
+
+        return let(F.array_intersect(have, every), found)
+
+    def search(tokens: Column) -> Column:
+        parts = [known(words, tokens)]
+        if endings:
+            parts.append(known(endings, F.transform(F.filter(tokens, lambda t: F.locate("_", t) > 1), lambda t: F.substring_index(t, "_", -1))))
+        if rest:
+            starts = "|".join(re.escape(w) for _, ws, _, _ in rest for w in ws)
+            own = [F.struct(F.lit(i).alias("ord"), F.regexp_extract(code, p, 0).alias("keyword"), F.concat(F.lit(d), suffix).alias("description")) for i, _, p, d in rest]
+            parts.append(F.when(F.exists(tokens, lambda t: t.rlike(f"^(?:{starts})")), F.array(*own)).otherwise(F.array().cast(FOUND)))
+        return F.filter(F.concat(*parts), lambda x: x["keyword"] != "")
+
+    return search(tokens) if tokens is not None else let(plain_tokens(code), search)
 
 
 def find_autoexec(code: Column, note: Column | None = None, tokens: Column | None = None) -> Column:
@@ -101,15 +123,25 @@ def find_suspicious(code: Column, note: Column | None = None, plain: Column | No
 def find_iocs(code: Column) -> Column:
     """Array of (ord, keyword, description = kind): addresses and names, each value once over all kinds."""
     kinds = []
-    for kind, pattern in V.IOC_PATTERNS:
+    signs = (F.contains(code, F.lit("://")), code.rlike(r"\d\.\d"), F.contains(code, F.lit("@")), code.rlike(rf"(?i)\.(?:{V.EXECUTABLES})"))  # what every match holds
+    for (kind, pattern), sign in zip(V.IOC_PATTERNS, signs, strict=True):
         p = pattern if "(?i)" not in pattern else pattern.replace("(?i)", "(?iU)")
-        kinds.append(_tagged(F.regexp_extract_all(code, F.lit(p), F.lit(0)), kind))
+        kinds.append(F.when(sign, _tagged(F.regexp_extract_all(code, F.lit(p), F.lit(0)), kind)).otherwise(F.array().cast("array<struct<keyword:string,description:string>>")))
     every = F.filter(F.concat(*kinds), lambda x: ~(x["keyword"].startswith(V.EXCLUDED_URLS[0]) | x["keyword"].startswith(V.EXCLUDED_URLS[1])))
-    values = F.transform(every, lambda x: x["keyword"])
-    first = F.filter(every, lambda x, i: F.array_position(values, x["keyword"]) == i + 1)
+    first = let(every, lambda x: first_of_each(x, lambda y: y["keyword"]))
     return F.transform(first, lambda x, i: F.struct(i.cast("int").alias("ord"), x["keyword"].alias("keyword"), x["description"].alias("description")))
 
 
+def first_of_each(rows: Column, key: Callable[[Column], Column]) -> Column:
+    """An array without the elements whose key an element before has."""
+
+    def some(keys: Column) -> Column:
+        firsts = F.filter(rows, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), rows).otherwise(firsts)
+
+    return let(F.transform(rows, key), some)
+
+
 def _tagged(values: Column, kind: str) -> Column:
     return F.transform(values, lambda v: F.struct(v.alias("keyword"), F.lit(kind).alias("description")))
 
@@ -126,29 +158,23 @@ def base64_strings(code: Column) -> Column:
 
 
 def dridex_decode(text: str) -> str | None:
-    """The decoded string, or None. Integer arithmetic; characters 0 to 255."""
-
-    def digits(x: str, others: str) -> int:
-        return int("".join(c if c.isdigit() else others for c in x))
-
-    try:
-        work = text[4:-4]
-        half = len(work) // 2
-        low, high = digits(work[half - 2 : half], "0"), digits(work[half : half + 2], "0")
-        width = high - low
-        work = work[: half - 2] + work[half + 2 :]
-        half, side = len(work) // 2, width // 2
-        divisor = digits(work[half - side : half + side], "")
-        work = work[: half - side] + work[half + side :]
-        out = ""
-        for i in range(0, len(work), width):
-            value = digits(work[i : i + width], "") // divisor
-            if value > 255:
-                return None
-            out += chr(value)
-        return out
-    except (ValueError, ZeroDivisionError):
+    """The decoded string, or None. Four signs at either end are padding. In the middle of the rest stand two numbers of two
+    signs, whose difference is the width of a group; in the middle of what is left, the divisor; each group of digits left,
+    divided, is a character of 0 to 255. Letters in a number count as 0 in the first two, and are passed over elsewhere."""
+    body = text[4:-4]
+    at = len(body) // 2
+    pair = body[at - 2 : at], body[at : at + 2]
+    if not all(pair):
+        return None
+    low, high = (int(re.sub("[^0-9]", "0", x)) for x in pair)
+    body, width = body[: at - 2] + body[at + 2 :], high - low
+    from_, to = len(body) // 2 - width // 2, len(body) // 2 + width // 2
+    groups = body[:from_] + body[to:]
+    numbers = [re.sub("[^0-9]", "", x) for x in (body[from_:to], *(groups[i : i + width] for i in range(0, len(groups) if width else 0, width or 1)))]
+    if not width or not all(numbers) or not int(numbers[0]):
         return None
+    values = [int(x) // int(numbers[0]) for x in numbers[1:]]
+    return None if any(v > 255 for v in values) else "".join(map(chr, values))
 
 
 def dridex_strings(code: Column) -> Column:

@@ -78,8 +78,10 @@ def unquote(field: Column) -> Column:
     """A QUOTE field's numbers as characters; other fields as they are."""
     parts = F.split(F.trim(field), " ")
     rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1)))
-    number = r"^[+-]?[0-9]+$"
-    chars = F.transform(rest, lambda p: F.when(p.rlike(number) & (p.cast("int") < 256), F.char(p.cast("int"))).otherwise(p))
+    # F.char() knows 256 characters; a number is written as big-endian UTF-32 and read again.
+    number = lambda p: F.when(p.rlike(r"^[+]?[0-9]{1,9}$"), p.cast("long"))
+    wide = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    chars = F.transform(rest, lambda p: F.when(number(p) < 0x110000, wide(number(p))).otherwise(p))
     return F.when(F.contains(field, F.lit("QUOTE")), F.array_join(chars, "")).otherwise(field)
 
 
@@ -134,6 +136,19 @@ def csv_dde(rows: DataFrame, text: str = "text") -> DataFrame:
     return some.select("file_id", F.posexplode(run(t)).alias("ordinal", "link"))
 
 
+def sylk_lines(text: str) -> list[str]:
+    """sylk_macros() of one text."""
+    out, sheet = [], False
+    for line in re.split("\r\n|\r|\n", text):
+        parts = line.split(";")
+        sheet = sheet or line.startswith("O") and any(p.startswith("E") for p in parts)
+        if sheet and line.startswith("NN"):
+            out += [f"Named cell: {p[1:]}" for p in parts if p.startswith("N") and p.strip() != "NN"]
+        elif sheet and line.startswith("C"):
+            out += [f"Formula or Macro: {p[1:]}" for p in parts if p.startswith("E")]
+    return out
+
+
 def sylk_macros(rows: DataFrame, text: str = "text") -> DataFrame:
     """file_id, ordinal, macro: named cells and formulas behind a macro sheet's option row."""
     lines = rows.select("file_id", F.posexplode(F.split(F.col(text), "\r\n|\r|\n")).alias("seq", "line"))

@@ -51,11 +51,11 @@ DUCK_PARTS = f"SELECT p_partkey AS file_id, {DUCK_CODE} AS code FROM part"
 
 
 def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.expr(SPARK_CODE).alias("code"))
+    return tables.spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("file_id"), F.expr(SPARK_CODE).alias("code"))
 
 
 def document_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("code"))
+    return tables.spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).alias("code"))
 
 
 DUCK_DOCUMENTS = "SELECT doc_id AS file_id, coalesce(text, '') AS code FROM documents"
@@ -318,7 +318,7 @@ def _files(rows: DataFrame, key: str, text: str, build: Callable[[int, str], byt
 
 
 def document_files(spark, sf_dir, build):
-    return _files(table(spark, sf_dir, "documents"), "doc_id", "text", build)
+    return _files(tables.spread(table(spark, sf_dir, "documents")), "doc_id", "text", build)
 
 
 def part_files(spark, sf_dir, build):
@@ -371,7 +371,7 @@ def c3_ole_encrypted(spark, sf_dir):
     def build(k, t):
         return cfb.write([{"\x05SummaryInformation": b"x", "a": b"y"}, {"EncryptionInfo": b"x"}, {"WordDocument": bytes(11) + b"\x01" + bytes(20)}][k % 3])
 
-    return tables.ole_encrypted(tables.ole_streams(supplier_files(spark, sf_dir, build)))
+    return tables.encrypted(supplier_files(spark, sf_dir, build)).drop("decryption")
 
 
 def vba_file(k: int, code: str) -> bytes:
@@ -547,10 +547,11 @@ def st1_mail_parts(spark, sf_dir):
   unnest([CASE file_id % 5 WHEN 0 THEN 'OLE' WHEN 1 THEN 'OpenXML' WHEN 2 THEN 'Word2003_XML' WHEN 3 THEN 'FlatOPC_XML' ELSE 'MHTML' END, 'false', CASE WHEN suspicious THEN 'Yes, suspicious' ELSE 'Yes' END, '0', 'false']) AS value,
   unnest(['info', 'none', CASE WHEN suspicious THEN 'HIGH' ELSE 'Medium' END, 'none', 'none']) AS risk FROM r""")
 def file_indicators(spark, sf_dir):
-    return verdict.indicators(part_files(spark, sf_dir, office_file))
+    rows = verdict.indicators(part_files(spark, sf_dir, office_file)).where(F.col("id").isin("container", "encrypted", "vba", "flash", "ObjectPool"))
+    return rows.withColumn("id", F.when(F.col("id") == "ObjectPool", "object_pool").otherwise(F.col("id")))
 
 
-def package(parts: dict[str, str], flag: bool = False) -> bytes:
+def package(parts: dict[str, str | bytes], flag: bool = False) -> bytes:
     import io
     import zipfile
 
@@ -636,8 +637,12 @@ def p8_custom_ui(spark, sf_dir):
 
 
 def queries() -> dict:
+    from . import file_catalog  # noqa: F401  (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    from . import file_catalog  # noqa: F401
+
     return dict(ORACLE)

@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from ..functions import fixed_values as V
 from .cfb import MAGIC, CompoundFile
 
 MOST = 256 << 20
@@ -80,23 +81,25 @@ def rtf_objects(data: bytes) -> list[dict]:
             continue
         digits = re.sub(rb"[^0-9A-Fa-f]", b"", held)
         raw = binascii.unhexlify(digits[: len(digits) // 2 * 2])
-        row = {"start": start, "end": end, "raw_size": len(raw), "raw_md5": hashlib.md5(raw).hexdigest(), "is_ole": False, "is_package": False, "format_id": None, "class_name": None, "oledata_size": None, "filename": None, "src_path": None, "temp_path": None, "ole_md5": None, "package_md5": None, "clsid": None, "tags": []}
+        row = {"start": start, "end": end, "raw_size": len(raw), "raw_md5": hashlib.md5(raw).hexdigest(), "is_ole": False, "is_package": False, "format_id": None, "class_name": None, "oledata_size": None, "filename": None, "src_path": None, "temp_path": None, "ole_md5": None, "package_md5": None, "clsid": None, "tags": [], "urls": [], "data": raw}
         try:
             o = ole1_object(raw)
-            row |= {"is_ole": True, "format_id": o["format_id"], "class_name": o["class_name"], "oledata_size": len(o["data"]), "ole_md5": hashlib.md5(o["data"]).hexdigest()}
+            row |= {"data": o["data"], "is_ole": True, "format_id": o["format_id"], "class_name": o["class_name"], "oledata_size": len(o["data"]), "ole_md5": hashlib.md5(o["data"]).hexdigest()}
             name = (o["class_name"] or "").replace("\0", "").lower()
             if name == "package":
                 p = native_package(o["data"], sized=False)
-                row |= {"is_package": True, "filename": p["filename"], "src_path": p["src_path"], "temp_path": p["temp_path"], "package_md5": hashlib.md5(p["data"]).hexdigest()}
-                if re.search(r"(?i)\.(?:exe|com|bat|cmd|vbs|vbe|js|jse|wsf|wsh|scr|pif|hta|cpl|msi|lnk|ps1|jar|dll|reg)$", p["filename"]):
+                row |= {"data": p["data"], "is_package": True, "filename": p["filename"], "src_path": p["src_path"], "temp_path": p["temp_path"], "package_md5": hashlib.md5(p["data"]).hexdigest()}
+                endings = ending(p["temp_path"]), ending(p["filename"])
+                if any(re.match(rf"(?i)\.(?:{V.EXECUTABLES})\b", e) for e in endings):
                     row["tags"].append("EXECUTABLE FILE")
-                if p["filename"].rpartition(".")[2].lower() != p["temp_path"].rpartition(".")[2].lower():
+                if endings[0] != endings[1]:
                     row["tags"].append("MODIFIED FILE EXTENSION")
             elif o["data"][:8] == MAGIC:
                 row["clsid"] = CompoundFile(o["data"]).entries[0].clsid or None
-            if name == "ole2link":
+            if (o["class_name"] or "").rstrip("\0") == "OLE2Link":
                 row["tags"].append("CVE-2017-0199")
-            if name == "equation.3":
+                row["urls"] = wide_urls(o["data"])
+            elif name.startswith("equation.3"):
                 row["tags"].append("CVE-2017-11882")
         except (ValueError, struct.error, IndexError):
             pass
@@ -104,6 +107,19 @@ def rtf_objects(data: bytes) -> list[dict]:
     return out
 
 
+def ending(path: str) -> str:
+    """What follows the last dot of a name, with the dot; a name that only begins with dots has none."""
+    name = path.rpartition("/")[2]
+    stem, dot, last = name.rpartition(".")
+    return dot + last if stem.strip(".") else ""
+
+
+def wide_urls(data: bytes) -> list[str]:
+    """The distinct runs of three or more wide ASCII signs that hold "http", in order."""
+    runs = (m[::2].decode("ascii") for m in re.findall(rb"(?:[\x20-\x7E]\0){3,}", data))
+    return sorted({r for r in runs if "http" in r})
+
+
 def write_rtf_object(data: bytes) -> bytes:
     return b"{\\rtf1\\ansi text {\\object\\objemb{\\*\\objclass Package}{\\*\\objdata " + binascii.hexlify(data) + b"}}}"
 
@@ -165,28 +181,39 @@ def write_package(filename: str, source: str, temp: str, data: bytes, sized: boo
     return struct.pack("<L", len(body)) + body if sized else body
 
 
-def safe_name(name: str, most: int = 128) -> str:
-    """A name without path, odd characters and leading or trailing blanks and dots."""
-    base = re.split(r"[\\/]", name)[-1]
-    return re.sub(r"[^A-Za-z0-9._ -]", "_", base)[:most].strip(" .") or "noname"
+def safe_name(name: str, most: int = 255) -> str:
+    """The last part of a path in safe signs, without doubled dots and blanks; cut to most signs, before its ending if there is room for that. May be empty."""
+    base = re.sub("[^a-zA-Z0-9._ -]", "_", name.rpartition("/")[2].strip())
+    base = re.sub("  +", " ", re.sub(r"\.\.+", ".", base))
+    if not most or len(base) < most:
+        return base
+    dot = base.rfind(".")
+    last = base[dot:] if dot >= 0 else ""
+    return base[: most - len(last)] + last if dot >= 0 and len(last) <= most else base[:most]
 
 
 def name_candidates(filename: str, source: str, temp: str, most: int, index: int) -> list[str]:
-    """Names for an embedded file, best first: those with an ending of up to four signs, then the others, then one of a hash, then one of a number."""
-    named = [safe_name(n, most) for n in (filename, source, temp) if n and n.strip()]
-    short = [n for n in named if 0 < len(n.rpartition(".")[2]) <= 4 and "." in n]
+    """Names for an embedded file, best first: those of the three with an ending of up to four signs; the others; a name of a hash with each of the endings and without; one of a number."""
+    names = [safe_name(re.split(r"[\\/]", n)[-1].strip(), most) for n in (filename, source, temp)]
+    names = [n for n in names if n]
+    named = [n for n in names if "." in n and n.rfind(".") >= len(n) - 5]
     digest = hashlib.md5("\0".join((filename, source, temp)).encode("utf-8", "replace")).hexdigest()
-    return list(dict.fromkeys([*short, *named, EMBEDDED_NAME + digest[:8], f"{EMBEDDED_NAME}{index:03d}"]))
+    letters = digest.translate(str.maketrans("0123456789", "ghijklmnop"))[:26]  # instead of chance
+    endings = [n[n.rfind(".") :] for n in named] + [""]
+    made = [letters[: most - len(e)] + e for e in endings if most - len(e) >= 1]
+    return [*named, *(n for n in names if n not in named), *made, f"{EMBEDDED_NAME}{index:03d}"]
 
 
 # --- ActiveMime, single-file XML, MHTML ---------------------------------------
 
 
 def inflate(data: bytes, most: int = MOST) -> bytes:
-    """As much as can be inflated."""
+    """As much as can be inflated; ValueError for more than most bytes."""
     engine, out = zlib.decompressobj(), b""
     try:
         out = engine.decompress(data, most)
+        if engine.unconsumed_tail:
+            raise ValueError(f"inflates to more than {most} bytes")
     except zlib.error:
         engine = zlib.decompressobj()
         parts = bytearray()
@@ -211,6 +238,8 @@ def active_mime(data: bytes) -> bytes:
             out = engine.decompress(whole[o:], MOST)
         except zlib.error:
             continue
+        if engine.unconsumed_tail:
+            raise ValueError(f"inflates to more than {MOST} bytes")
         if out and engine.eof:
             return out
         part = part or out  # cut short: only if no stream is whole
@@ -236,7 +265,7 @@ def word2003_objects(data: bytes) -> list[bytes]:
 def flat_opc_projects(data: bytes) -> list[bytes]:
     """vbaProject parts of a Flat OPC document."""
     out = []
-    root = _parse(data)
+    root = parse_xml(data)
     space = "{http://schemas.microsoft.com/office/2006/xmlPackage}"
     for part in root.iter(f"{space}part"):
         if part.get(f"{space}contentType") == "application/vnd.ms-office.vbaProject":
@@ -270,11 +299,17 @@ def is_mhtml(data: bytes) -> bool:
 # --- packages and XML ------------------------------------------------------------
 
 
-def zip_parts(data: bytes, password: str | None = None) -> Iterator[tuple[str, bytes | None, bool, str | None]]:
-    """(name, contents or None, encrypted, error) of all members of a package; the first MOST bytes of each, with an error where it has more."""
+def zip_flags(data: bytes) -> Iterator[int]:
+    """The flags of a package's members."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        yield from (info.flag_bits for info in z.infolist())
+
+
+def zip_parts(data: bytes, password: str | None = None, names: set[str] | None = None) -> Iterator[tuple[str, bytes | None, bool, str | None]]:
+    """(name, contents or None, encrypted, error) of all members of a package, or of those named; the first MOST bytes of each, with an error where it has more."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
-            if info.is_dir():
+            if info.is_dir() or names is not None and info.filename not in names:
                 continue
             locked = bool(info.flag_bits & 1)
             try:
@@ -287,7 +322,13 @@ def zip_parts(data: bytes, password: str | None = None) -> Iterator[tuple[str, b
             yield row
 
 
-def _parse(data: bytes) -> ElementTree.Element:
+def checked_xml(data: bytes) -> io.BytesIO:
+    if b"<!ENTITY" in data:
+        raise ValueError("entity declarations are not read")
+    return io.BytesIO(data)
+
+
+def parse_xml(data: bytes) -> ElementTree.Element:
     if b"<!ENTITY" in data:
         raise ValueError("entity declarations are not read")
     try:
@@ -329,28 +370,6 @@ def content_types(data: bytes) -> tuple[dict[str, str], dict[str, str]]:
     return overrides, defaults
 
 
-def docx_fields(data: bytes) -> list[str]:
-    """Field instructions of a Word part: simple fields, and runs between field begin and end (inner ones join the outer)."""
-    out, level, held = [], 0, ""
-    for event, e in ElementTree.iterparse(io.BytesIO(data), ("start", "end")):
-        name = e.tag.rpartition("}")[2]
-        a = {k.rpartition("}")[2]: v for k, v in e.attrib.items()}
-        if event == "start" and name == "fldChar":
-            if a.get("fldCharType") == "begin":
-                level += 1
-            elif a.get("fldCharType") == "end":
-                level -= 1
-                if level <= 0:
-                    if held:
-                        out.append(held)
-                    level, held = 0, ""
-        elif event == "end" and name == "instrText" and level > 0:
-            held += e.text or ""
-        elif event == "start" and name == "fldSimple":
-            out.append(a.get("instr", ""))
-    return out
-
-
 def xlsx_links(data: bytes) -> list[str]:
     """'service topic' of DDE link elements."""
     return [f"{a.get('ddeService', '')} {a.get('ddeTopic', '')}" for _, _, tag, a, _ in xml_elements(data, "ddeLink") if tag]
@@ -411,17 +430,21 @@ def supbook_link(data: bytes) -> tuple[str, str] | None:
     return ("ole/dde" if sheets == 0 else "external"), text.replace("\x03", " ")
 
 
-def ppt_records(data: bytes, depth: int = 0, base: int = 0) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
+def ppt_records(data: bytes) -> Iterator[tuple[int, int, int, int, int, int, bytes]]:
     """(depth, position, type, size, instance, version, contents); containers (version 15) before their records."""
-    at = 0
-    while at + 8 <= len(data):
+    ends, at = [len(data)], 0
+    while ends:
+        if at + 8 > ends[-1]:
+            at = ends.pop()
+            continue
         head, kind, size = struct.unpack_from("<HHL", data, at)
-        body = data[at + 8 : at + 8 + size]
-        version, instance = head & 15, head >> 4
-        yield depth, base + at, kind, size, instance, version, b"" if version == 15 else body
-        if version == 15 and depth < 32:
-            yield from ppt_records(body, depth + 1, base + at + 8)
-        at += 8 + size
+        version, instance, end = head & 15, head >> 4, min(at + 8 + size, ends[-1])
+        yield len(ends) - 1, at, kind, size, instance, version, b"" if version == 15 else data[at + 8 : end]
+        at += 8
+        if version == 15:
+            ends.append(end)
+        else:
+            at = end
 
 
 def ppt_storages(data: bytes) -> list[bytes]:
@@ -475,7 +498,7 @@ def property_set(data: bytes) -> dict[int, object]:
     at = struct.unpack_from("<L", data, 44)[0]
     n = struct.unpack_from("<L", data, at + 4)[0]
     out, page = {}, 1252
-    for i in range(min(n, 1000)):
+    for i in range(n):
         if at + 16 + 8 * i > len(data):
             break
         key, off = struct.unpack_from("<LL", data, at + 8 + 8 * i)
@@ -543,4 +566,30 @@ def flash_objects(data: bytes) -> list[tuple[int, str, int, int]]:
 
 def form_strings(data: bytes) -> list[str]:
     """Printable runs of five signs or more in a form's object stream, without the usual font name."""
-    return [x for m in re.findall(rb"[\t\r\n\x20-\xFF]{5,}", data) if (x := m.decode("latin-1")) != "Tahoma"]
+    return [x for m in re.findall(rb"[\t\r\n\x20-\xFF]{5,}", data) if (x := m.decode("utf-8", "replace")) != "Tahoma"]
+
+
+def form_storages(paths: list[str]) -> list[str]:
+    """Paths of the storages that have both streams of a form, o and f."""
+    have = {p.lower() for p in paths}
+    above = {p.rpartition("/")[0] for p in paths if p.lower().endswith("/o")}
+    return sorted(a for a in above if f"{a}/f".lower() in have)
+
+
+def inner_ole(data: bytes) -> Iterator[bytes]:
+    """Every compound file in a file: itself, package parts, ActiveMime in Word XML and MHTML, Flat OPC, PPT objects."""
+    if data.startswith(MAGIC):
+        f = CompoundFile(data)
+        main = next((c for e, c in f.streams(False) if e.path == "PowerPoint Document"), None)
+        yield from ([data] if main is None else ppt_storages(main))
+    elif data.startswith(b"PK\x03\x04"):
+        yield from (c for _, c, _, _ in zip_parts(data) if c and c.startswith(MAGIC))
+    elif is_xml(data) and (FLAT_OPC in data or WORD_2003 in data):
+        if FLAT_OPC in data:
+            yield from flat_opc_projects(data)
+        if WORD_2003 in data:
+            yield from word2003_objects(data)
+    elif is_mhtml(data):
+        for _, _, part in mail_parts(data):
+            if part.startswith(b"ActiveMime"):
+                yield active_mime(part)

@@ -2,18 +2,22 @@
 
 A file table has file_id and content (binary). Generators run in Python on Arrow
 batches, one file after another, and never raise for a file: what can't be read
-gives no rows, or an error where a table has that column. All that follows is SQL.
+gives no rows, or an error where a table has that column (errors=True). All that
+follows is SQL.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cfb, formats, ovba
+from . import cfb, documents, formats, ovba
 
 #: Bytes of files that one output batch gathers.
 BATCH = 32 << 20
@@ -25,9 +29,10 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return files.select(F.col("path").alias("file_id"), "length", F.col("modificationTime").alias("modified"), "content")
 
 
-def spread(files: DataFrame, partitions: int) -> DataFrame:
-    """Files dealt out evenly; large ones don't stay beside each other in their input split."""
-    return files.repartition(partitions, "file_id")
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out over the cores, if their input has fewer splits than there are cores (one file of one row group, large files beside each other); else as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def container_type() -> Column:
@@ -59,45 +64,40 @@ def is_rtf(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 4)) == "7B5C7274"
 
 
-def generate(files: DataFrame, read: Callable[[bytes], Iterator[tuple]], schema: str, key: str = "file_id", content: str = "content") -> DataFrame:
-    """key and the rows that read(content) yields, for each file."""
+def generate(files: DataFrame, read: Callable[[bytes], Iterator[tuple]], schema: str, key: str = "file_id", content: str = "content", errors: bool = False) -> DataFrame:
+    """key and the rows that read(content) yields, for each file.
+
+    errors: one more column, error (name and message); a file that can't be read on gives the rows read so far, and a row
+    of nulls with the error. Without it such a file gives the rows read so far."""
     kind = files.schema[key].dataType.simpleString()
+    failures = (ValueError, IndexError, KeyError, OverflowError, ArithmeticError, EOFError, RecursionError, struct.error, zipfile.BadZipFile, zlib.error)
+    width = len(_arrow(schema))
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             held, size = [], 0
-            types = pa.schema([(key, b.schema.field(key).type), *_arrow(schema)])
+            types = pa.schema([(key, b.schema.field(key).type), *_arrow(schema), *([("error", pa.string())] if errors else [])])
+            last = (None,) if errors else ()
             for k, data in zip(b.column(key).to_pylist(), b.column(content), strict=True):
                 data = data.as_py()
                 if data is None:
                     continue
                 try:
                     for row in read(data):
-                        held.append((k, *row))
+                        held.append((k, *row, *last))
                         size += sum(len(x) for x in row if isinstance(x, (bytes, str)))
-                except (ValueError, IndexError, OverflowError, ArithmeticError, EOFError, _struct_error(), _zip_error()):
-                    pass
-                if size > BATCH:
-                    yield _batch(held, types)
-                    held, size = [], 0
+                        if size > BATCH:
+                            yield _batch(held, types)
+                            held, size = [], 0
+                except failures as e:
+                    if errors:
+                        held.append((k, *[None] * width, f"{type(e).__name__}: {e}"))
             if held:
                 yield _batch(held, types)
 
-    return files.select(key, content).mapInArrow(run, f"{key} {kind}, {schema}")
-
-
-def _struct_error():
-    import struct
-
-    return struct.error
-
-
-def _zip_error():
-    import zipfile
-
-    return zipfile.BadZipFile
+    return files.select(key, content).mapInArrow(run, f"{key} {kind}, {schema}" + (", error string" if errors else ""))
 
 
 def _batch(rows: list[tuple], schema):
@@ -109,7 +109,7 @@ def _batch(rows: list[tuple], schema):
 def _arrow(schema: str):
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "map<string,string>": pa.map_(pa.string(), pa.string())}
     return [(name, kinds[kind]) for name, kind in (f.strip().split(" ", 1) for f in schema.replace("map<string,string>", "map<string;string>").split(", ") for f in [f.replace(";", ",")])]
 
 
@@ -162,12 +162,10 @@ def ole_metadata(files: DataFrame) -> DataFrame:
     return generate(files, read, "property string, value string")
 
 
-def ole_encrypted(streams: DataFrame) -> DataFrame:
-    """file_id, encrypted: an encryption stream, or an encrypted summary without a plain one, or the Word flag. streams: of ole_streams()."""
-    named = lambda n: F.max((F.col("path") == n).cast("int"))
-    fib = F.max(F.when((F.col("path") == "WordDocument") & (F.octet_length("stream") >= 12), F.conv(F.hex(F.substring("stream", 12, 1)), 16, 10).cast("int").bitwiseAND(F.lit(1))))
-    a = streams.groupBy("file_id").agg(named("EncryptionInfo").alias("e"), named("EncryptedSummary").alias("s"), named("\x05SummaryInformation").alias("p"), fib.alias("f"))
-    return a.select("file_id", (F.coalesce(F.col("e") == 1, F.lit(False)) | (F.coalesce(F.col("s") == 1, F.lit(False)) & F.coalesce(F.col("p") == 0, F.lit(True))) | F.coalesce(F.col("f") == 1, F.lit(False))).alias("encrypted"))
+def encrypted(files: DataFrame) -> DataFrame:
+    """file_id, encrypted, decryption: of files of any kind; decryption says that this library detects, and does not decrypt."""
+    rows = generate(files, lambda d: [(documents.is_encrypted(d),)], "encrypted boolean")
+    return rows.withColumn("decryption", F.when(F.col("encrypted"), "UnsupportedEncryptionError"))
 
 
 def _project_modules(data: bytes) -> Iterator[tuple]:
@@ -209,36 +207,57 @@ def vba_modules(files: DataFrame) -> DataFrame:
     return generate(files, _project_modules, MACROS)
 
 
-def inner_ole(data: bytes) -> Iterator[bytes]:
-    """Every compound file in a file: itself, package parts, ActiveMime in Word XML and MHTML, Flat OPC, PPT objects."""
+inner_ole = formats.inner_ole
+
+
+def container_of(data: bytes) -> str:
+    """container_type() of a file's bytes."""
     if data.startswith(cfb.MAGIC):
-        f = cfb.CompoundFile(data)
-        main = next((c for e, c in f.streams(False) if e.path == "PowerPoint Document"), None)
-        yield from ([data] if main is None else formats.ppt_storages(main))
-    elif data.startswith(b"PK\x03\x04"):
-        yield from (c for _, c, _, _ in formats.zip_parts(data) if c and c.startswith(cfb.MAGIC))
-    elif formats.is_xml(data) and (formats.FLAT_OPC in data or formats.WORD_2003 in data):
-        if formats.FLAT_OPC in data:
-            yield from formats.flat_opc_projects(data)
-        if formats.WORD_2003 in data:
-            yield from formats.word2003_objects(data)
-    elif formats.is_mhtml(data):
-        for _, _, part in formats.mail_parts(data):
-            if part.startswith(b"ActiveMime"):
-                yield formats.active_mime(part)
-
-
-def macros(files: DataFrame) -> DataFrame:
-    """file_id, ordinal, stream_path, vba_filename, code of all modules in files of any kind."""
+        return "PPT" if "powerpoint document".encode("utf-16-le") in data.lower() else "OLE"
+    if data.startswith(b"PK\x03\x04"):
+        return "OpenXML"
+    if formats.is_xml(data) and formats.WORD_2003 in data:
+        return "Word2003_XML"
+    if formats.is_xml(data) and formats.FLAT_OPC in data:
+        return "FlatOPC_XML"
+    if formats.is_mhtml(data):
+        return "MHTML"
+    for start, kind in ((b"{\\rt", "RTF"), (b"ID", "SLK"), (bytes.fromhex("89504E470D0A1A0A"), "PNG"), (bytes.fromhex("E4525C7B8CD8A74DAEB15378D02996D3"), "OneNote"), (b"MZ", "PE")):
+        if data.startswith(start):
+            return kind
+    return "Unknown" if not data or b"\0" in data else "Text"
+
+
+def file_modules(data: bytes) -> Iterator[tuple]:
+    """ordinal, stream_path, vba_filename and code of a file of any kind: modules of compound files in it, a text as it is, the macros of a SYLK sheet."""
+    kind = container_of(data)
+    if kind == "Text":
+        yield 0, "", "", data.decode("utf-8", "replace")
+    elif kind == "SLK":
+        from ..operators.dde import sylk_lines
+
+        lines = sylk_lines(data.decode("latin-1"))
+        if lines:
+            yield 0, "", "xlm_macro.txt", "\n".join(lines)
+    yield from inner_modules(data)
+
+
+def inner_modules(data: bytes) -> Iterator[tuple]:
+    n = 0
+    for inner in inner_ole(data):
+        for _, *rest in _project_modules(inner):
+            yield n, *rest
+            n += 1
 
-    def read(data):
-        n = 0
-        for inner in inner_ole(data):
-            for _, *rest in _project_modules(inner):
-                yield n, *rest
-                n += 1
 
-    return generate(files, read, MACROS)
+def macros(files: DataFrame, errors: bool = False) -> DataFrame:
+    """file_id, ordinal, stream_path, vba_filename, code of all modules of compound files in files of any kind."""
+    return generate(files, inner_modules, MACROS, errors=errors)
+
+
+def sources(files: DataFrame, errors: bool = False) -> DataFrame:
+    """macros(), and texts and SYLK sheets as code of their own."""
+    return generate(files, file_modules, MACROS, errors=errors)
 
 
 def all_code(modules: DataFrame) -> DataFrame:
@@ -251,13 +270,13 @@ def all_code(modules: DataFrame) -> DataFrame:
 
 
 def rtf_objects(files: DataFrame) -> DataFrame:
-    names = "start end is_ole is_package format_id class_name oledata_size filename src_path temp_path raw_md5 ole_md5 package_md5 clsid tags".split()
+    names = "start end is_ole is_package format_id class_name oledata_size filename src_path temp_path raw_md5 ole_md5 package_md5 clsid tags urls data".split()
 
     def read(data):
         for i, o in enumerate(formats.rtf_objects(data)):
             yield i, *[o[n] for n in names]
 
-    return generate(files, read, "ordinal long, start long, end long, is_ole boolean, is_package boolean, format_id long, class_name string, oledata_size long, filename string, src_path string, temp_path string, raw_md5 string, ole_md5 string, package_md5 string, clsid string, tags array<string>")
+    return generate(files, read, "ordinal long, start long, end long, is_ole boolean, is_package boolean, format_id long, class_name string, oledata_size long, filename string, src_path string, temp_path string, raw_md5 string, ole_md5 string, package_md5 string, clsid string, tags array<string>, urls array<string>, data binary")
 
 
 def rtf_fields(files: DataFrame) -> DataFrame:
@@ -281,7 +300,8 @@ def xml_elements(files: DataFrame, tags: str | None = None) -> DataFrame:
 
 
 def docx_fields(files: DataFrame) -> DataFrame:
-    return generate(files, lambda d: enumerate(formats.docx_fields(d)), "ordinal long, field string")
+    """Fields of Word packages, Word XML files or single Word parts."""
+    return generate(files, lambda d: enumerate(documents.word_xml_fields(d)), "ordinal long, field string")
 
 
 def word_fields(streams: DataFrame) -> DataFrame:
@@ -330,3 +350,111 @@ def packages(files: DataFrame) -> DataFrame:
                     yield p["filename"], p["src_path"], p["temp_path"], p["is_link"], len(p["data"]), hashlib.md5(p["data"]).hexdigest()
 
     return generate(files, read, "name string, src_path string, temp_path string, is_link boolean, size long, md5 string")
+
+
+# --- whole files ------------------------------------------------------------------------------
+
+
+def document_types(files: DataFrame) -> DataFrame:
+    """file_id, document_type, is_xls, is_ppt."""
+
+    def read(data):
+        ole = cfb.CompoundFile(data) if data.startswith(cfb.MAGIC) else None
+        yield documents.document_type(data), ole is not None and documents.is_excel_ole(ole), ole is not None and documents.is_powerpoint_ole(ole)
+
+    return generate(files, read, "document_type string, is_xls boolean, is_ppt boolean")
+
+
+def dde_links(files: DataFrame, mode: str = "exclude harmless", errors: bool = False) -> DataFrame:
+    """file_id, ordinal, source, link: DDE links and fields of files of any kind. mode is for fields of Word packages and RTF."""
+    from ..operators import dde
+
+    rows = generate(files, lambda d: ((i, *x) for i, x in enumerate(documents.dde_links(d))), "ordinal long, source string, link string", errors=errors)
+    if mode not in dde.MODES:
+        raise ValueError(f"mode must be one of {dde.MODES}")
+    fields = F.col("source").isin("docx", "rtf")
+    keep = F.lit(True) if mode == "all" else dde.is_dde_field(F.col("link")) if mode == "dde" else ~dde.is_harmless_field(F.trim("link"))
+    return rows.where(F.coalesce(~fields, F.lit(True)) | keep)
+
+
+def external_relationships(files: DataFrame) -> DataFrame:
+    """file_id, part, type, mode, target of packages, for operators.dde.relationships()."""
+    rows = generate(files, documents.external_relationships, "part string, type string, target string")
+    return rows.select("file_id", "part", "type", F.lit("External").alias("mode"), "target")
+
+
+def embedded_objects(files: DataFrame, most: int = 255) -> DataFrame:
+    """file_id, ordinal, out_name (the best safe name), is_link, size, md5, data, error of embedded files: to be saved as they are."""
+
+    def read(data):
+        for i, (name, source, temp, is_link, c, error) in enumerate(documents.embedded_objects(data)):
+            yield i, formats.name_candidates(name, source, temp, most, i)[0], is_link, len(c), hashlib.md5(c).hexdigest(), c, error
+
+    return generate(files, read, "ordinal long, out_name string, is_link boolean, size long, md5 string, data binary, error string")
+
+
+def save_objects(rows: DataFrame, path: str) -> None:
+    """Writes objects (file_id, ordinal, out_name, data) as Parquet, one folder for each first letter of a hash of their file."""
+    rows.select("file_id", "ordinal", "out_name", "data", F.substring(F.md5(F.col("file_id").cast("string").cast("binary")), 1, 1).alias("shelf")).write.partitionBy("shelf").parquet(path)
+
+
+def rtf_saved(objects: DataFrame) -> DataFrame:
+    """file_id, ordinal, out_name, data: what saving RTF objects writes, one file an object. objects: of rtf_objects()."""
+    at = F.upper(F.lpad(F.hex("start"), 8, "0"))
+    ending = F.when(F.col("is_package"), F.lit(None)).when(F.col("is_ole"), F.when(F.hex(F.substring("data", 1, 8)) == "D0CF11E0A1B11AE1", ".doc").otherwise(".bin")).otherwise(".raw")
+    safe = F.regexp_replace("filename", "[^a-zA-Z0-9._-]", "_")
+    return objects.select("file_id", "ordinal", F.when(F.col("is_package"), F.concat_ws("_", F.lit("object"), at, safe)).otherwise(F.concat(F.lit("object_"), at, ending)).alias("out_name"), "data")
+
+
+def persist_objects(files: DataFrame) -> DataFrame:
+    """file_id, persist_id, offset of presentations."""
+    return generate(files, lambda d: sorted(documents.persist_directory(cfb.CompoundFile(d)).items()), "persist_id long, offset long")
+
+
+def storage_tree(files: DataFrame) -> DataFrame:
+    """file_id, place, sid, depth, path, name, size, clsid of the root and all streams and storages, by path."""
+    return generate(files, lambda d: ((i, *r) for i, r in enumerate(documents.storage_tree(d))), "place long, sid long, depth long, path string, name string, size long, clsid string")
+
+
+def filetime_text(ticks: Column) -> Column:
+    """100 ns since 1601 as 'yyyy-MM-dd HH:mm:ss'; null for null and 0."""
+    seconds = (ticks - F.pmod(ticks, F.lit(10_000_000))) / 10_000_000 - 11_644_473_600
+    return F.when(ticks > 0, F.date_format(F.timestamp_seconds(seconds.cast("long")), "yyyy-MM-dd HH:mm:ss"))
+
+
+def macro_presence(files: DataFrame) -> DataFrame:
+    """file_id, has_vba, has_xlm."""
+    return generate(files, lambda d: [(documents.has_vba(d), documents.has_xlm(d))], "has_vba boolean, has_xlm boolean")
+
+
+def form_strings(files: DataFrame) -> DataFrame:
+    """file_id, storage, ordinal, string: of storages with both streams of a form."""
+
+    def read(data):
+        streams = {e.path: c for inner in inner_ole(data) for e, c in cfb.CompoundFile(inner).streams(orphans=False)}
+        for storage in formats.form_storages(list(streams)):
+            o = next(c for p, c in streams.items() if p.lower() == f"{storage}/o".lower())
+            for i, text in enumerate(formats.form_strings(o)):
+                yield storage, i, text
+
+    return generate(files, read, "storage string, ordinal long, string string")
+
+
+def flash_in_streams(files: DataFrame) -> DataFrame:
+    """file_id, source, pos, signature, version, size, md5 of Flash objects in streams of compound files and in RTF objects."""
+
+    def read(data):
+        sources = [(e.path or e.name, c) for e, c in cfb.CompoundFile(data).streams()] if data.startswith(cfb.MAGIC) else [(f"object {i}", o["data"]) for i, o in enumerate(formats.rtf_objects(data))] if data[:4] == b"{\\rt" else [("", data)]
+        for name, c in sources:
+            for pos, signature, version, size in formats.flash_objects(c):
+                yield name, pos, signature, version, size, hashlib.md5(c[pos : pos + size]).hexdigest()
+
+    return generate(files, read, "source string, pos long, signature string, version long, size long, md5 string")
+
+
+def zip_scan(files: DataFrame, password: str | None = None, pattern: str = "*") -> DataFrame:
+    """file_id (archive and member), container, name, content, error of the members that fit a glob: files to scan further."""
+    from fnmatch import fnmatch
+
+    rows = generate(files, lambda d: ((n, c, e) for n, c, _, e in formats.zip_parts(d, password) if fnmatch(n, pattern)), "name string, content binary, error string")
+    return rows.select(F.concat_ws("/", F.col("file_id").cast("string"), "name").alias("file_id"), F.col("file_id").cast("string").alias("container"), "name", "content", "error")
