@@ -16,8 +16,10 @@ CUT = re.compile(r"(?<=\S)(?= )")
 #: Most pieces: letters of the first three Latin blocks, then punctuation, and the like once more after a line end.
 LATIN, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", re.escape("!\"#$%&()*+,-./:;=?@[]_{|}~")
 PLAIN = re.compile(rf"( ?[{LATIN}]+)([{MARKS}]*)(?:(\n)([{LATIN}]+)([{MARKS}]*))?")
-#: Pieces longer than this, and more pieces than that, are not remembered.
-LONG_PIECE, MEMO_ROWS = 64, 1_200_000
+#: Longer pieces are not remembered.
+LONG_PIECE = 64
+#: Characters of texts that are taken together.
+SLICE = 2_000_000
 
 
 def pieces(text: str) -> list[str]:
@@ -78,3 +80,17 @@ class BpeFile:
             out.append(self.special[m.group()])
             at = m.end()
         return out + ([w for w, _ in self._split(piece[at:])] if at < len(piece) else [])
+
+
+def slices(texts, most: int = SLICE):
+    """Lists of consecutive texts of an Arrow array with about that many characters together, and one at least. Nulls become empty."""
+    held, size = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held

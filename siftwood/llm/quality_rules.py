@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sizes, table, without
+from .common import fresh, sizes, small_batches, table, without, worker_state
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -84,6 +84,7 @@ def measures_column(text: Column) -> Column:
     def run(texts):
         import pyarrow as pa
 
+        worker_state("quality", dict)
         rows = np.array([measure(t) for t in sizes(texts)], np.int64).reshape(-1, len(MEASURES))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(MEASURES))], list(MEASURES))
 
@@ -92,8 +93,10 @@ def measures_column(text: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures and failed_bits: one bit per rule of RULES."""
-    keep = without(docs, *[n for n in (*MEASURES, "failed_bits") if n != text.lower()])
-    out = keep.withColumn("__m", measures_column(F.col(f"`{text}`"))).select("*", "__m.*").drop("__m")
+    keep = without(small_batches(docs), *[n for n in (*MEASURES, "failed_bits") if n != text.lower()])
+    (own,) = fresh(keep, "measures")
+    kept = [F.col(f"`{c}`") for c in keep.columns if c.lower() not in (*MEASURES, "failed_bits")]
+    out = keep.withColumn(own, measures_column(F.col(f"`{text}`"))).select(*kept, f"`{own}`.*")
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, rule) in enumerate(RULES)), F.lit(0))
     return out.withColumn("failed_bits", bits.cast("long"))
 

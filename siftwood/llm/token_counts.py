@@ -7,26 +7,24 @@ from left to right without overlap, and takes sequences without a known pair out
 What is left of a sequence is its token count. The ranks of a merge's results lie
 above its own rank, so merging all occurrences at once equals merging one by one.
 
-Results: null text is empty: 0 bytes, 0 tokens; repeated rows get equal results;
-an empty table gives an empty table; columns that clash with result names are
-replaced.
+Results: null text is empty: 0 bytes, 0 tokens; texts of any length are counted
+whole; repeated rows get equal results; an empty table gives an empty table;
+columns that clash with result names are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_files import LONG_PIECE, MEMO_ROWS, BpeFile, pieces
-from .common import sizes, table, without
+from .bpe_files import LONG_PIECE, BpeFile, pieces, slices
+from .common import Memo, small_batches, table, without, worker_state
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 1024
 NO_RANK = np.iinfo(np.int64).max
 #: Symbols held at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 class RankMerger:
@@ -98,7 +96,7 @@ class Counter:
     def __init__(self, path: str):
         self.file = BpeFile(path)
         self.merger = RankMerger(self.file)
-        self.memo: dict[str, int] = {}
+        self.memo = Memo()
 
     def fill(self, new: list[str]) -> dict[str, int]:
         """Counts of pieces: their distinct pre-tokens are merged together."""
@@ -118,27 +116,16 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         cut = [pieces(t) for t in texts]
         memo = self.memo
-        if len(memo) > MEMO_ROWS:
-            memo.clear()
-        now = self.fill(list({p: None for ps in cut for p in ps if p not in memo}))
-        memo.update((p, k) for p, k in now.items() if len(p) <= LONG_PIECE)
-        get = memo.get
-        return [sum([now[p] if (k := get(p)) is None else k for p in ps]) for ps in cut]
+        known = {p: memo[p] for ps in cut for p in ps}
+        known |= (now := self.fill([p for p, k in known.items() if k is None]))
+        for p, k in now.items():
+            if len(p) <= LONG_PIECE:
+                memo.keep(p, k, 2 * len(p))
+        return [sum([known[p] for p in ps]) for ps in cut]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
-
-
-def _slices(texts: list[str], most: int = 4_000_000):
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield texts[at:i]
-            at, held = i, 0
-        held += len(t)
-    yield texts[at:]
+    return worker_state(("counter", path), lambda: Counter(path))
 
 
 def count_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -151,7 +138,7 @@ def count_column(text: Column, vocabulary: str = VOCABULARY) -> Column:
         import pyarrow as pa
 
         c = counter(path or public_tokenizers.path(vocabulary))
-        return pa.array([n for part in _slices(sizes(texts)) for n in c.counts(part)], pa.int64())
+        return pa.array([n for part in slices(texts) for n in c.counts(part)], pa.int64())
 
     return run(text)
 
@@ -160,7 +147,7 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit)."""
     t = F.col(f"`{text}`")
     return (
-        without(docs, *[n for n in ("n_bytes", "n_tokens", "over_limit") if n != text.lower()])
+        without(small_batches(docs), *[n for n in ("n_bytes", "n_tokens", "over_limit") if n != text.lower()])
         .withColumn("n_bytes", F.coalesce(F.octet_length(t), F.lit(0)).cast("long"))
         .withColumn("n_tokens", count_column(t, vocabulary))
         .withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -15,18 +15,21 @@
 
 The classifier is fitted on MOST_LABELLED labelled rows of either class at most,
 chosen by a hash of doc_id, near copies (by min-hashes) once; the base rate comes from all labelled rows.
+Every feature of that sample that chance does not explain is in the model.
 Inputs of a score: the text alone.
 
 Results: null and empty texts get the score of a text without features (under
-0.7); repeated rows get equal scores; a table without usable labels scores every
-text 0; an empty table gives an empty table; columns that clash with result names
-are replaced; of a doc_id labelled more than once the largest label counts.
+0.7); texts, runs and tokens of any length are read whole; repeated rows get equal
+scores; a table without usable labels scores every text 0; an empty table gives an
+empty table; columns that clash with result names are replaced, all others are
+kept; of a doc_id labelled more than once the largest label counts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,13 +37,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_files import MEMO_ROWS
-from .common import drop_stored, fixed, stored, table, without
-from .jaccard_join import min_hashes, shingles
+from .common import Memo, drop_stored, fixed, small_batches, stored, table, without, worker_state
+from .shingles import min_hashes, shingles
 
 THRESHOLD = 0.7
-#: Rows of either class in the fit; candidate features kept; chance of a false feature over all candidates; toxic rows from which a feature is sure.
-MOST_LABELLED, MOST_FEATURES, CHANCE, SURE = 6000, 4000, 0.05, 40
+#: Rows of either class in the fit; chance of a false feature over all candidates; toxic rows from which a feature is sure.
+MOST_LABELLED, CHANCE, SURE = 6000, 0.05, 40
+#: Bytes of a worker's remembered tokens and of its restored ones, about.
+TOKEN_BYTES, RESTORED_BYTES = 32 << 20, 12 << 20
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäåæçèéêëìíîïñòóôöøùúûüßœ"
 SIZE = 64
 #: What a sign may stand for.
@@ -83,6 +87,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
+        worker_state("trigrams", dict)
         total = np.zeros(SIZE**3, np.int64)
         for b in batches:
             held, size = [], 0
@@ -194,15 +199,14 @@ class Reader:
 
     def __init__(self, channel: Channel):
         self.channel = channel
-        self.restored: dict[str, str] = {}
+        self.restored = Memo(RESTORED_BYTES)
 
     def restore(self, token: str) -> str:
         """token is lower-case; '' if nothing is restored."""
-        x = self.restored.get(token)
+        x = self.restored[token]
         if x is None:
-            if len(self.restored) > MEMO_ROWS // 4:
-                self.restored.clear()
-            x = self.restored[token] = self.channel.decode(token)
+            x = self.channel.decode(token)
+            self.restored.keep(token, x, 2 * len(token) + 2 * len(x))
         return x
 
     def own_forms(self, core: str) -> list[str]:
@@ -274,19 +278,18 @@ class Model:
 
     def __init__(self, reader: Reader, weights: dict[str, tuple[float, float]], bias: float):
         self.reader, self.weights, self.bias = reader, weights, bias
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.names = {f: f for f in weights}
+        self.memo = Memo(TOKEN_BYTES)
 
     def token(self, token: str) -> tuple[str, ...]:
-        own = tuple(dict.fromkeys(f for f in self.reader.token_features(token) if f in self.weights))
+        own = tuple(dict.fromkeys(self.names[f] for f in self.reader.token_features(token) if f in self.names))
         if len(token) <= LONGEST:
-            if len(self.memo) > MEMO_ROWS:
-                self.memo.clear()
-            self.memo[token] = own
+            self.memo.keep(token, own, 2 * len(token) + 8 * len(own))
         return own
 
     def score(self, text: str) -> float:
         low = text.lower()
-        get, make = self.memo.get, self.token
+        get, make = self.memo.__getitem__, self.token
         found: set[str] = set()
         for t in low.split():
             own = get(t)
@@ -307,12 +310,20 @@ def _log_tail(k: int, n: int, p: float) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms))
 
 
+def _least_toxic(n_of: dict[int, int], tried: int) -> int:
+    """The fewest toxic rows with which a feature that no other row has can pass choose()."""
+    n1, n0 = n_of.get(1, 0), n_of.get(0, 0)
+    if not n1 or not n0:
+        return 3
+    return max(3, math.ceil(math.log(CHANCE / max(tried, 1)) / math.log(n1 / (n1 + n0))))
+
+
 def choose(found: list[tuple[str, int, int]], n1: int, n0: int, tried: int) -> list[tuple[str, int, int]]:
     """Of features (name, toxic rows, rows) those that chance over all tried does not explain."""
     p = n1 / (n1 + n0)
     limit = math.log(CHANCE / max(tried, 1))
     kept = sorted((x, f, k, n) for f, k, n in found if (x := _log_tail(k, n, p)) < limit)
-    return [(f, k, n) for _, f, k, n in kept[:MOST_FEATURES]]
+    return [(f, k, n) for _, f, k, n in kept]
 
 
 def fit(chosen: list[tuple[str, int, int]], sets: list[list[int]], y: np.ndarray, base: float) -> tuple[dict[str, tuple[float, float]], float]:
@@ -342,17 +353,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, tup
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     totals = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not totals.get(1) or not totals.get(0):
+    if not totals.get(1) or not totals.get(0):  # nothing to tell apart
         return counts, {}, -60.0
     picked = [own.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED) for k in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * MOST_LABELLED rows at most
-    small = _packed(counts)
+    small, key = _packed(counts), uuid.uuid4().hex
 
     @F.arrow_udf("fs array<string>, p1 long, p2 long, p3 long")
     def features(texts):
         import pyarrow as pa
 
-        reader = Reader(Channel(_unpacked(small)))
+        reader = worker_state(key, lambda: Reader(Channel(_unpacked(small))))
         texts = [t or "" for t in texts.to_pylist()]
         parts = [pa.array([sorted(reader.text_features(t)) for t in texts], pa.list_(pa.string()))]
         parts += [pa.array(x, pa.int64()) for x in zip(*[min_hashes(shingles(t)) for t in texts], strict=True)] if texts else [pa.array([], pa.int64())] * 3
@@ -365,12 +376,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, tup
     drawn = fixed(all_drawn.drop("p1", "p2", "p3").join(F.broadcast(single.select("doc_id").distinct()), "doc_id"))
     rows = drawn.select("toxic", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where("k >= 3")
     tried = rows.count()
-    best = rows.where("k >= 0.8 * n").orderBy(F.desc("k"), "f").limit(10 * MOST_FEATURES)
-    n = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = choose([(r.f, r.k, r.n) for r in best.collect()], n.get(1, 0), n.get(0, 0), tried)
-    names = F.array(*[F.lit(f) for f, _, _ in chosen]) if chosen else F.array().cast("array<string>")
+    n_of = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # As many as the sample's rows, a bounded number, hold three times or more: about as many in a table of any size.
+    best = rows.where("k >= 0.8 * n").where(F.lit(_least_toxic(n_of, tried)) <= F.col("k"))
+    chosen = choose([(r.f, r.k, r.n) for r in best.collect()], n_of.get(1, 0), n_of.get(0, 0), tried)
     at = {f: i for i, (f, _, _) in enumerate(chosen)}
-    held = [(r.toxic, [at[f] for f in r.fs]) for r in drawn.select("doc_id", "toxic", F.array_intersect("fs", names).alias("fs")).orderBy("doc_id").collect()]
+
+    @F.arrow_udf("array<int>")
+    def places(sets):
+        import pyarrow as pa
+
+        return pa.array([sorted(at[f] for f in fs or () if f in at) for fs in sets.to_pylist()], pa.list_(pa.int32()))
+
+    held = [(r.toxic, r.fs) for r in drawn.select("doc_id", "toxic", places("fs").alias("fs")).orderBy("doc_id").collect()]
     drop_stored(all_drawn)
     return counts, *fit(chosen, [s for _, s in held], np.array([t for t, _ in held], np.float64), totals[1] / (totals[0] + totals[1]))
 
@@ -390,29 +408,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def score_column(text: Column, counts: np.ndarray, weights: dict[str, tuple[float, float]], bias: float) -> Column:
-    import uuid
-
     key, small = uuid.uuid4().hex, _packed(counts)
 
     @F.arrow_udf("double")
     def run(texts):
         import pyarrow as pa
 
-        model = _MODELS.get(key)
-        if model is None:
-            _MODELS.clear()
-            model = _MODELS[key] = Model(Reader(Channel(_unpacked(small))), weights, bias)
-        return pa.array([model.score(t or "") for t in texts.to_pylist()], pa.float64())
+        model = worker_state(key, lambda: Model(Reader(Channel(_unpacked(small))), weights, bias))
+        return pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
 
     return run(text)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
+    small_batches(docs)
     counts, weights, bias = train(docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text")), labels.select("doc_id", "toxic"))
     out = without(docs, "score", "predicted").withColumn("score", F.round(score_column(F.col(f"`{text}`"), counts, weights, bias), 9))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
