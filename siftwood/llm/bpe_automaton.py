@@ -5,176 +5,128 @@ merges are taken in rank order; merge (u, v) -> w applies one gadget: the state
 that u arcs lead to is split off for u (a copy of its arcs), the copy loses its
 arc v, and every state that still has an arc u gains an arc w to where v arcs
 lead. The automaton then reads a token string exactly if it is the BPE encoding
-of its bytes, so a word has one path. Gadgets are kept as differences (parent,
-time of birth, lost arcs); a transition is worked out from them on first use and
-then stands in a table. Construction follows "Constructing a BPE Tokenization
-DFA" (Berglund, Martens, van der Merwe, 2024).
-
-encode: longest arc first from each position, back at a dead end, no (position,
-state) twice. decode: the bytes on the arcs, joined.
-
-Results: null text is empty and has no ids; repeated rows and ties get equal
-results; an empty table gives an empty table; columns that clash with result
-names are replaced.
+of its bytes. Construction follows "Constructing a BPE Tokenization DFA"
+(Berglund, Martens, van der Merwe, 2024).
+
+The compiled table: all arcs of a token lead to one state (goal), and tokens with
+arcs in the same states are one column (column), so the arcs of all states are a
+bit for each column and state. It is complete before the first word is read.
+
+encode: from each place, the longest token with an arc in the state reached there.
+Where no token has one, the last step is taken back for the next shorter token. A
+word's beginnings have one encoding each, so no place is come to twice, and time is
+in proportion to the word's length (times that of a token, at most). decode: the
+bytes on the arcs, joined.
+
+Results: null text is empty and has no ids; texts of any length are read whole;
+repeated rows and ties get equal results; an empty table gives an empty table;
+columns that clash with result names are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 from array import array
-from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_files import LONG_PIECE, MEMO_ROWS, BpeFile, pieces
-from .common import sizes, table, without
+from .bpe_files import LONG_PIECE, BpeFile, pieces
+from .common import Memo, fresh, sizes, small_batches, table, without, worker_state
 
 VOCABULARY = "byte_bpe_50k.json"
+#: The key of a node's token in the trie; no character has it.
+TOKEN = ""
+#: Bytes of a worker's remembered pieces, about.
+PIECE_BYTES = 72 << 20
 
 
 class MergeAutomaton:
+    """goal, column: by token id; bits: whether the arcs of a column leave a state, width bytes a column."""
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        made: dict[str, tuple[int, str]] = {}  # merged token: time, left part
-        goal = {t: 0 for t in vocab if len(t) == 1}  # state that arcs of a token lead to
-        parent, born, lost, labels = [0], [0], [{}], [len(goal)]  # labels: how many tokens' arcs lead to a state
-        for k, (u, v) in enumerate(merges, 1):
+        base = [t for t in vocab if len(t) == 1]
+        goal = dict.fromkeys(base, 0)
+        leads = [len(base)]  # how many tokens' arcs lead to a state
+        column = {t: i for i, t in enumerate(base)}
+        users = [1] * len(base)  # how many tokens share a column
+        bits = np.zeros((max(1024, 2 * len(base)), 256), np.uint8)
+        bits[: len(base), 0] = 1
+        for u, v in merges:
             w = u + v
-            if w in made or not (w in vocab and u in goal and v in goal):
+            if w in goal or not (w in vocab and u in goal and v in goal):
                 continue
             s = behind = goal[u]
-            if labels[s] > 1 or u == v:  # arcs of other tokens lead there too: split it off for u
-                labels[s] -= 1
-                parent.append(s)
-                born.append(k)
-                lost.append({})
-                labels.append(1)
-                s = goal[u] = len(parent) - 1
-            lost[s].setdefault(v, k)
-            made[w] = (k, u)
+            if leads[s] > 1 or u == v:  # arcs of other tokens lead there too: split it off for u
+                leads[s] -= 1
+                n = goal[u] = len(leads)
+                leads.append(1)
+                if n >> 3 == bits.shape[1]:
+                    bits = np.pad(bits, ((0, 0), (0, n >> 3)))
+                bits[: len(users), n >> 3] |= (bits[: len(users), s >> 3] >> (s & 7) & 1) << (n & 7)
+                s = n
+            own = column[v]
+            if bits[own, s >> 3] >> (s & 7) & 1:  # s loses its arc v
+                if users[own] > 1:  # v leaves the column that it shares
+                    users[own] -= 1
+                    new = column[v] = len(users)
+                    users.append(1)
+                    if new == len(bits):
+                        bits = np.pad(bits, ((0, new // 2), (0, 0)))
+                    bits[new] = bits[own]
+                    own = new
+                bits[own, s >> 3] &= 0xFF ^ 1 << (s & 7)
+            column[w] = column[u]  # an arc w wherever there is an arc u
+            users[column[u]] += 1
             goal[w] = behind if u == v else goal[v]  # the second u leads to the state as it was
-            labels[goal[w]] += 1
-        self.parent, self.born, self.lost = parent, born, [{vocab[t]: k for t, k in x.items()} for x in lost]
-        self.size = 1 + max(vocab.values(), default=0)
-        self.goal = [0] * self.size
-        self.time = [0] * self.size  # when the arcs of a token came up, and its left part
-        self.left = [0] * self.size
-        for t, s in goal.items():
+            leads[goal[w]] += 1
+        self.states, self.width = len(leads), (len(leads) + 7) // 8
+        self.bits = bits[: len(users), : self.width].tobytes()
+        size = 1 + max(vocab.values(), default=0)
+        self.goal, self.row = array("i", bytes(4 * size)), array("i", bytes(4 * size))  # row: where a token's column begins
+        self.length = array("i", bytes(4 * size))
+        self.trie: dict = {TOKEN: -1}  # the first node; each has the token that ends there, if any, and the nodes below by character
+        for t, to in goal.items():
             i = vocab[t]
-            self.goal[i] = s
-            self.time[i], self.left[i] = (made[t][0], vocab[made[t][1]]) if t in made else (0, i)
-        self.next: dict[int, bool] = {}
-        self.ends: dict[tuple[int, str], tuple[int, ...] | None] = {}
-        self.length = [0] * self.size
-        self.trie: list[dict[str, int]] = [{}]
-        self.token_at = [-1]  # the token that ends at a node of the trie
-        self.shorter = [-1] * self.size  # the longest token that is a proper prefix
-        for t in sorted(goal, key=len):
-            node, best = 0, -1
+            self.goal[i], self.row[i], self.length[i] = to, column[t] * self.width, len(t)
+            node = self.trie
             for c in t:
-                if self.token_at[node] >= 0:
-                    best = self.token_at[node]
-                to = self.trie[node].get(c)
-                if to is None:
-                    to = self.trie[node][c] = len(self.trie)
-                    self.trie.append({})
-                    self.token_at.append(-1)
-                node = to
-            i = vocab[t]
-            self.token_at[node], self.shorter[i], self.length[i] = i, best, len(t)
-
-    def has(self, s: int, t: int) -> bool:
-        """Whether state s has an arc t once all gadgets are applied."""
-        at = 1 << 60
-        while True:
-            gone = self.lost[s].get(t)
-            if gone is not None and gone <= at:
-                return False
-            time = self.time[t]
-            if time > at:
-                return False
-            if self.born[s] > time:  # copied when s was split off
-                at, s = self.born[s] - 1, self.parent[s]
-            elif time == 0:
-                return True
-            else:  # added where its left part had an arc
-                t, at = self.left[t], time
+                node = node.setdefault(c, {TOKEN: -1})
+            node[TOKEN] = i
 
     def arc(self, state: int, token: int) -> bool:
-        """has(), by table."""
-        ok = self.next.get(state * self.size + token)
-        if ok is None:
-            if len(self.next) > 3_000_000:
-                self.next.clear()
-            ok = self.next[state * self.size + token] = self.has(state, token)
-        return ok
-
-    def path(self, state: int, rest: str) -> tuple[int, ...] | None:
-        """The one path that reads rest from a state, if there is one: short words, whose ends repeat, by table."""
-        key = (state, rest)
-        if key in self.ends:
-            return self.ends[key]
-        node, token, trie, token_at = 0, -1, self.trie, self.token_at
-        for c in rest:
-            node = trie[node].get(c)
-            if node is None:
-                break
-            if token_at[node] >= 0:
-                token = token_at[node]
-        found = None
-        while token >= 0:
-            if self.arc(state, token):
-                n = self.length[token]
-                if n == len(rest):
-                    found = (token,)
-                    break
-                tail = self.path(self.goal[token], rest[n:])
-                if tail is not None:
-                    found = (token, *tail)
-                    break
-            token = self.shorter[token]
-        if state or len(rest) <= 4:  # whole words are remembered by the caller
-            if len(self.ends) > 500_000:
-                self.ends.clear()
-            self.ends[key] = found
-        return found
-
-    def encode(self, word: str) -> tuple[int, ...] | list[int]:
-        if len(word) > 40:
-            return self.encode_long(word)
-        found = self.path(0, word)
-        if found is None:
-            raise ValueError("a symbol outside the vocabulary")
-        return found
-
-    def encode_long(self, word: str) -> list[int]:
-        trie, token_at, goal = self.trie, self.token_at, self.goal
-        path: list[int] = []
-        dead: set[tuple[int, int]] = set()
-        at, end, state, token = 0, len(word), 0, -2
+        return bool(self.bits[self.row[token] + (state >> 3)] >> (state & 7) & 1)
+
+    def encode(self, word: str) -> list[int]:
+        """The token ids of a word."""
+        trie, goal, row, bits, length = self.trie, self.goal, self.row, self.bits, self.length
+        at, end, s, path, shorter = 0, len(word), 0, [], []
         while at < end:
-            if token == -2:  # the longest arc from here
-                node, token, i = 0, -1, at
-                while i < end and (to := trie[node].get(word[i])) is not None:
-                    node = to
-                    i += 1
-                    if token_at[node] >= 0:
-                        token = token_at[node]
-            while token >= 0:
-                if self.arc(state, token) and not (dead and (at + self.length[token], goal[token]) in dead):
+            node, i, found = trie, at, []
+            while i < end:
+                node = node.get(word[i])
+                if node is None:
                     break
-                token = self.shorter[token]
-            if token >= 0:
-                path.append(token)
-                at += self.length[token]
-                state, token = goal[token], -2
-            elif path:
-                dead.add((at, state))
-                back = path.pop()
-                at -= self.length[back]
-                state, token = goal[path[-1]] if path else 0, self.shorter[back]
-            else:
-                raise ValueError("a symbol outside the vocabulary")
+                i += 1
+                t = node[TOKEN]
+                if t >= 0:
+                    found.append(t)
+            byte, bit = s >> 3, s & 7
+            while found and not bits[row[found[-1]] + byte] >> bit & 1:
+                found.pop()
+            while not found:
+                if not path:
+                    raise ValueError("a symbol outside the vocabulary")
+                at -= length[path.pop()]
+                found, byte, bit = shorter.pop()
+                while found and not bits[row[found[-1]] + byte] >> bit & 1:
+                    found.pop()
+            t = found.pop()
+            path.append(t)
+            shorter.append((found, byte, bit))
+            at += length[t]
+            s = goal[t]
         return path
 
 
@@ -183,7 +135,7 @@ class Codec:
         self.file = BpeFile(path)
         self.automaton = MergeAutomaton(self.file.vocab, self.file.merges)
         self.labels = self.file.token_bytes()
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(PIECE_BYTES)
 
     def piece_ids(self, piece: str) -> bytes:
         out = array("I")
@@ -194,23 +146,20 @@ class Codec:
                 out.extend(self.automaton.encode(w))
         ids = out.tobytes()
         if len(piece) <= LONG_PIECE:
-            if len(self.memo) > MEMO_ROWS:
-                self.memo.clear()
-            self.memo[piece] = ids
+            self.memo.keep(piece, ids, 2 * len(piece) + len(ids))
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        get, make = self.memo.get, self.piece_ids
+        get, make = self.memo.__getitem__, self.piece_ids
         return b"".join([get(p) or make(p) for p in pieces(text)])
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return worker_state(("codec", path), lambda: Codec(path))
 
 
 def encode_column(text: Column, vocabulary: str, digest: bool = False) -> Column:
@@ -241,8 +190,11 @@ def encode_column(text: Column, vocabulary: str, digest: bool = False) -> Column
 def bpe_encode(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, digest: bool = False) -> DataFrame:
     """docs with n_tokens, ids and decoded of the whole text (or with their digests)."""
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
-    keep = without(docs, *[n for n in names if n.lower() != text.lower()])
-    return keep.withColumn("__bpe", encode_column(F.col(f"`{text}`"), vocabulary, digest)).select("*", *[F.col(f"__bpe.{n}").alias(n) for n in names]).drop("__bpe")
+    keep = without(small_batches(docs), *[n for n in names if n.lower() != text.lower()])
+    (own,) = fresh(keep, "bpe")
+    out = keep.withColumn(own, encode_column(F.col(f"`{text}`"), vocabulary, digest))
+    kept = [F.col(f"`{c}`") for c in keep.columns if c.lower() not in names]
+    return out.select(*kept, *[F.col(f"`{own}`.{n}").alias(n) for n in names])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
