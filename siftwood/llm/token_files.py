@@ -14,9 +14,13 @@ remembered.
 Files go to the shared folder; each attempt writes under names of its own, and
 only names that a finished task returned are read.
 
-Results: null text is empty and gives the end id alone; null doc_id comes first,
-equal doc_ids stand by the hash of their texts; an empty table gives no files and
-an empty table.
+A file holds about FILE_BYTES of texts (a longer text is not split), and one task
+writes it: files grow in number with the input, not in size.
+
+Results: null text is empty and gives the end id alone; texts of any length are
+encoded whole; null doc_id comes first, equal doc_ids stand by the hash of their
+texts; an empty table gives no files and an empty table; other columns are not
+read. Who asks for the files deletes them: drop_token_files().
 """
 
 from __future__ import annotations
@@ -24,20 +28,19 @@ from __future__ import annotations
 import itertools
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_files import LONG_PIECE, MEMO_ROWS
-from .common import fixed, scratch_path, table
+from .bpe_files import LONG_PIECE, slices
+from .common import Memo, fixed, scratch_path, small_batches, table, worker_state
 from .ranges import choose_splitters, range_column
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 LENGTH, BATCH = 2048, 64
-#: Bytes of text per file, about; files at least and at most.
-FILE_BYTES, FEWEST, MOST = 32 << 20, 48, 20_000
+#: Bytes of text per file, about; files at least.
+FILE_BYTES, FEWEST = 32 << 20, 48
 LOWEST = -(1 << 63)
 KEYS = ["id", "key", "salt"]
 
@@ -53,7 +56,7 @@ class WordEncoder:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo()
         self.mark = {m: self._ids([m.decode()])[0] for m in (b",", b".")}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -61,34 +64,34 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
-        if len(memo) > MEMO_ROWS:
-            memo.clear()
         cut = []
         for t in texts:
             raw = t.encode()
             cut.append((raw if b"<|" in raw else raw.lower()).split())  # special strings count in their case
-        new = dict.fromkeys(p for ps in cut for p in ps if p not in memo)
-        stems = dict.fromkeys(s for p in new if (s := self._stem(p)) is not None and s not in memo and s not in new)
-        ask = [p for p in [*new, *stems] if self._stem(p) is None]
-        now = dict(zip(ask, self._ids([p.decode() for p in ask]), strict=True))
-        for p in new:
-            if (s := self._stem(p)) is not None:  # a letter, then one mark: the mark is a word of its own
-                now[p] = (memo.get(s) or now[s]) + self.mark[p[-1:]]
-        memo.update((p, ids) for p, ids in now.items() if len(p) <= LONG_PIECE)
-        get = memo.get
-        return [b"".join([get(p) or now[p] for p in ps]) for ps in cut]
+        known = {p: memo[p] for ps in cut for p in ps}  # a piece may have no ids: None alone means not known
+        new = [p for p, ids in known.items() if ids is None]
+        stems = {p: s for p in new if (s := self._stem(p)) is not None}
+        ask = list(dict.fromkeys([*(p for p in new if p not in stems), *(s for s in stems.values() if known.get(s) is None)]))
+        found = dict(zip(ask, self._ids([p.decode() for p in ask]), strict=True))
+        for p, s in stems.items():  # a letter, then one mark: the mark is a word of its own
+            own = found.get(s)
+            found[p] = (known[s] if own is None else own) + self.mark[p[-1:]]
+        known |= found
+        for p, ids in found.items():
+            if len(p) <= LONG_PIECE:
+                memo.keep(p, ids, len(p) + len(ids))
+        return [b"".join([known[p] for p in ps]) for ps in cut]
 
     @staticmethod
     def _stem(p: bytes) -> bytes | None:
         return p[:-1] if p[-1] in b",." and len(p) > 1 and 97 <= p[-2] <= 122 else None
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its own
-    return WordEncoder(path)
+    return worker_state(("encoder", path), lambda: WordEncoder(path))
 
 
 def _path(vocabulary: str) -> str:
@@ -97,16 +100,6 @@ def _path(vocabulary: str) -> str:
     return vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
 
 
-def _slices(texts, most: int = 4_000_000):
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield texts[at:i]
-            at, held = i, 0
-        held += len(t)
-    yield texts[at:]
-
-
 def ids_column(text: Column, vocabulary: str = VOCABULARY, end: int = END) -> Column:
     """The ids of the whole text and the end id, as bytes."""
 
@@ -116,7 +109,7 @@ def ids_column(text: Column, vocabulary: str = VOCABULARY, end: int = END) -> Co
 
         e = encoder(_path(vocabulary))
         last = np.array([end], e.dtype).tobytes()
-        return pa.array([ids + last for part in _slices([t or "" for t in texts.to_pylist()]) for ids in e.encode(part)], pa.binary())
+        return pa.array([ids + last for part in slices(texts) for ids in e.encode(part)], pa.binary())
 
     return run(text)
 
@@ -209,14 +202,15 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     """Writes the files; returns (number in doc_id order, uri, documents, ids) of each."""
     t = F.col(f"`{text}`")
     keys = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LOWEST)).alias("id"), F.xxhash64(t).alias("key"), F.monotonically_increasing_id().alias("salt")]
+    small_batches(docs)
     sized = fixed(docs.select(*keys, (F.coalesce(F.octet_length(t), F.lit(0)) + 16).cast("long").alias("size")))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    n = min(MOST, max(FEWEST, total // FILE_BYTES))
+    n = max(FEWEST, total // FILE_BYTES)
     splitters, ranges = choose_splitters(sized, KEYS, "size", n, total)
     id_kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *keys, ids_column(t, vocabulary, end).alias("ids"))
     rows = rows.withColumn("range", range_column([F.col(k) for k in KEYS], splitters)).select("range", "id", "key", "doc_id", "ids")
-    rows = rows.repartition(len(ranges), "range").sortWithinPartitions("range", "id", "key", "ids")
+    rows = rows.repartitionById(len(ranges), F.col("range")).sortWithinPartitions("range", "id", "key", "ids")
 
     def run(batches):
         import pyarrow as pa
@@ -238,7 +232,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 def read_token_files(spark: SparkSession, files: list[tuple], id_kind: str = "long") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read from the files."""
     starts = itertools.accumulate((f[3] for f in files), initial=0)
-    listed = [(f[0], f[1], s) for f, s in zip(files, starts, strict=False)]
+    listed = [(k, f[1], s) for k, (f, s) in enumerate(zip(files, starts, strict=False))]
 
     def run(batches):
         import pyarrow as pa
@@ -249,13 +243,22 @@ def read_token_files(spark: SparkSession, files: list[tuple], id_kind: str = "lo
                 ends = start + np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(ends - np.array(n)), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = spark.createDataFrame(listed, "number int, uri string, start long").repartitionByRange(max(1, len(listed)), "number")
+    rows = spark.createDataFrame(listed, "number int, uri string, start long").repartitionById(max(1, len(listed)), F.col("number"))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def drop_token_files(spark: SparkSession, path: str) -> None:
+    """Deletes the files under a path once nothing reads them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_token_files(spark, write_token_files(docs, scratch_path(spark, "ids")))
+    path = scratch_path(spark, "ids")
+    rows = fixed(read_token_files(spark, write_token_files(docs, path)))
+    drop_token_files(spark, path)
+    return rows
 
 
 QUERIES = {"op6_token_files": op6}
