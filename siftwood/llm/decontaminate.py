@@ -12,12 +12,15 @@ gram have all their windows hashed and looked up; those found are verified by
 their words, in a join with the benchmark's windows.
 
 The hash sets are part of the tasks' code. They hold what the benchmark gives,
-and no more than MOST_GRAMS hashes; a larger benchmark is looked up by joins.
-
-Results: null text has no words and is clean; empty items match nothing; equal
-items all count; repeated rows each get the result; empty tables give empty
-tables (an empty benchmark: all clean); other columns are kept, those that clash
-with result names are replaced.
+and no more than MOST_GRAMS hashes. With a larger benchmark the same grams of the
+documents are looked up by a semi-join, and only texts that hold one have their
+windows joined with the benchmark's.
+
+Results: null text has no words and is clean; texts of any length are read whole;
+empty items match nothing; equal items all count; repeated rows each get the
+result; empty tables give empty tables (an empty benchmark: all clean); other
+columns are kept, whatever their names, and those that clash with result names
+(spans among them) are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fixed, fresh, stored, table, without
+from .common import drop_stored, fixed, fresh, stored, table, without
 
 #: A window's words; the least words of a gram in the scan; the most hashes in a task's code.
 WINDOW, GRAM, MOST_GRAMS = 13, 5, 50_000
@@ -48,15 +51,6 @@ def rough_words(text: Column) -> Column:
     return F.filter(F.split(plain, SEPARATORS_OF_ANY_CASE), lambda w: w != "")
 
 
-def _starts(words: Column, length: int, step: int = 1) -> Column:
-    """0, step, ... for all grams of that many words."""
-    return F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length, F.lit(step))).otherwise(F.array().cast("array<int>"))
-
-
-def _gram(words: Column, at: Column, length: int) -> Column:
-    return F.slice(words, at + 1, F.lit(length))
-
-
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """item, len, win (words joined by spaces) and rough (words in rough form)."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w"), rough_words(F.col(text)).alias("rw")).where(F.size("w") > 0)
@@ -65,87 +59,102 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     return rows.select("item", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("win"), F.slice("rw", F.col("at") + 1, F.col("len")).alias("rough")).distinct()
 
 
-def _grams(words: Column, length: int, step: int) -> Column:
+def _starts_sql(w: str, length: int, step: int = 1) -> str:
+    return f"CASE WHEN size(`{w}`) >= {length} THEN sequence(0, size(`{w}`) - {length}, {step}) ELSE cast(array() AS array<int>) END"
+
+
+def _grams_sql(w: str, length: int, step: int) -> str:
     """Hashes of the grams of that many words at 0, step, ..."""
-    return F.transform(_starts(words, length, step), lambda i: F.xxhash64(_gram(words, i, length)))
+    return f"transform({_starts_sql(w, length, step)}, i -> xxhash64(slice(`{w}`, i + 1, {length})))"
 
 
-def _occurrences(words: Column, length: int) -> Column:
+def _occurrences_sql(w: str, length: int) -> str:
     """All windows of that many words: pos, len, win."""
-    return F.transform(_starts(words, length), lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.array_join(_gram(words, i, length), " ").alias("win")))
+    return f"transform({_starts_sql(w, length)}, i -> named_struct('pos', i, 'len', {length}, 'win', array_join(slice(`{w}`, i + 1, {length}), ' ')))"
+
+
+def _in_sql(value: str, hashes: list[int]) -> str:
+    """One expression for the whole set; Spark makes a hash set of it."""
+    return f"{value} IN ({', '.join(f'{h}L' for h in hashes)})" if hashes else "false"
 
 
-def _known(grams: Column, hashes: list[int]) -> Column:
-    """Whether one of the hashes is in the set. Spark makes a hash set of a long list of literals."""
-    return F.exists(grams, lambda h: h.isin(hashes)) if hashes else F.lit(False)
+HITS = "array<struct<pos:int,len:int,win:string>>"
 
 
-def _hits(words: Column, length: int, hashes: list[int]) -> Column:
-    return F.filter(_occurrences(words, length), lambda x: F.xxhash64(x["win"]).isin(hashes))
+def _sampled(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Of each window length: itself, its grams' length, and the step at which documents are sampled for those."""
+    return [(n, min(GRAM, n), n - min(GRAM, n) + 1) for n in lengths]
 
 
-def find_hits(docs: DataFrame, wins: DataFrame, text: str) -> tuple[DataFrame, str, bool]:
-    """docs without their text, with a row number, n_words and hits (pos, len and win of windows whose hashes are known); the row number's name; whether the benchmark was small enough to broadcast."""
+def find_hits(docs: DataFrame, wins: DataFrame, text: str) -> tuple[DataFrame, str, str, bool]:
+    """docs without their text, with a row number, n_words and hits (pos, len and win of windows whose hashes are known); the names of row number and hits; whether the benchmark was small enough to broadcast."""
     lengths = sorted(r.len for r in wins.select("len").distinct().collect())  # 1 to 13 at most
     grams = wins.select("len", F.least(F.col("len"), F.lit(GRAM)).alias("g"), "rough").select("len", F.explode(F.transform(F.sequence(F.lit(0), F.col("len") - F.col("g")), lambda i: F.xxhash64(F.slice("rough", i + 1, F.col("g"))))).alias("h")).distinct()
     hashes = wins.select("len", F.xxhash64("win").alias("h")).distinct()
     if max(grams.count(), hashes.count()) > MOST_GRAMS:
-        return *_find_by_joins(docs, wins, lengths, text), False
+        return *_find_by_joins(docs, wins, grams, lengths, text), False
     by_gram: dict[int, list[int]] = {n: [] for n in lengths}
     by_window: dict[int, list[int]] = {n: [] for n in lengths}
     for rows, to in ((grams, by_gram), (hashes, by_window)):
         for r in rows.collect():  # counted above
             to[r.len].append(r.h)
-    rid, w, rough = fresh(docs, "rid", "w", "rough")
+    rid, w, rough, hits = fresh(docs, "rid", "w", "rough", "hits")
     rows = docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(rough, rough_words(F.col(f"`{text}`")))
-    near = F.lit(False)
-    for n in lengths:
-        g = min(GRAM, n)
-        near = near | _known(_grams(F.col(rough), g, n - g + 1), by_gram[n])
-    rows = rows.withColumn("n_words", F.size(rough).cast("long")).withColumn(w, F.when(near, words(F.col(f"`{text}`"))))
-    rows = rows.select(*[c for c in rows.columns if c not in (rough, text)])
-    found = [_hits(F.col(w), n, by_window[n]) for n in lengths]
-    none = F.array().cast("array<struct<pos:int,len:int,win:string>>")
-    hits = F.when(F.col(w).isNull(), none).otherwise(F.concat(none, *found)) if found else none
-    return rows.withColumn("hits", hits).drop(w), rid, True
-
-
-def _find_by_joins(docs: DataFrame, wins: DataFrame, lengths: list[int], text: str):
-    """For a benchmark of any size: all windows of the documents, joined by their words."""
-    rid, w = fresh(docs, "rid", "w")
-    rows = stored(docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(w, words(F.col(f"`{text}`"))).drop(text), "words")
-    alls = F.concat(*[_occurrences(F.col(w), n) for n in lengths])
-    own = rows.select(rid, F.inline(alls)).join(wins.select("win", "len").distinct(), ["win", "len"], "left_semi").groupBy(rid).agg(F.collect_list(F.struct("pos", "len", "win")).alias("hits"))
-    none = F.array().cast("array<struct<pos:int,len:int,win:string>>")
-    out = rows.join(own, rid, "left").withColumn("hits", F.coalesce("hits", none)).withColumn("n_words", F.size(w).cast("long")).drop(w)
-    return out, rid
+    near = " OR ".join(f"exists({_grams_sql(rough, g, step)}, h -> {_in_sql('h', by_gram[n])})" for n, g, step in _sampled(lengths)) or "false"
+    rows = rows.withColumn("n_words", F.size(rough).cast("long")).withColumn(w, F.when(F.expr(near), words(F.col(f"`{text}`"))))
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in (rough, text)])
+    found = [f"filter({_occurrences_sql(w, n)}, x -> {_in_sql('xxhash64(x.win)', by_window[n])})" for n in lengths]
+    both = f"CASE WHEN `{w}` IS NULL THEN cast(array() AS {HITS}) ELSE concat({', '.join([f'cast(array() AS {HITS})', *found])}) END"
+    return rows.withColumn(hits, F.expr(both)).drop(w), rid, hits, True
+
+
+def _find_by_joins(docs: DataFrame, wins: DataFrame, grams: DataFrame, lengths: list[int], text: str) -> tuple[DataFrame, str, str]:
+    """For a benchmark of any size. Texts go by two hashes; those that share a sampled gram have their windows joined by their words."""
+    rid, hits, a, b = fresh(docs, "rid", "hits", "a", "b")
+    t = F.col(f"`{text}`")
+    marks = [F.xxhash64(t).alias(a), F.xxhash64(F.lit(1), t).alias(b)]
+    own = docs.where(t.isNotNull()).select(*marks, rough_words(t).alias("rough"))
+    some = None
+    for n, g, step in _sampled(lengths):
+        x = own.select(a, b, F.lit(n).alias("len"), F.explode(F.expr(_grams_sql("rough", g, step))).alias("h"))
+        some = x if some is None else some.unionByName(x)
+    near = fixed(some.join(grams, ["len", "h"], "left_semi").select(a, b).distinct())
+    texts = docs.where(t.isNotNull()).select(*marks, t.alias("text")).join(near, [a, b], "left_semi").dropDuplicates([a, b]).select(a, b, words(F.col("text")).alias("w"))
+    alls = F.expr(f"concat({', '.join(_occurrences_sql('w', n) for n in lengths)})")
+    found = texts.select(a, b, F.inline(alls)).join(wins.select("win", "len").distinct(), ["win", "len"], "left_semi").groupBy(a, b).agg(F.collect_list(F.struct("pos", "len", "win")).alias(hits))
+    rows = docs.withColumns({rid: F.monotonically_increasing_id(), a: marks[0], b: marks[1], "n_words": F.size(rough_words(t)).cast("long")}).drop(text)
+    out = rows.join(fixed(found), [a, b], "left").withColumn(hits, F.coalesce(hits, F.array().cast(HITS)))
+    return out.drop(a, b), rid, hits
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs (without text) with n_words, n_hit, n_items, items_sha256, contaminated and spans: [from, to) of hit words."""
-    docs = without(docs, *RESULTS, "spans", "hits")
+    docs = without(docs, *[n for n in (*RESULTS, "spans") if n != text.lower()])
     wins = fixed(windows(benchmark, item, item_text))
-    rows, rid, small = find_hits(docs, wins, text)
+    rows, rid, hits, small = find_hits(docs, wins, text)
     rows = stored(rows, "hits")
-    by_win = wins.groupBy("win", "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    items, at, win, len_, pos = fresh(rows, "items", "at", "win", "len", "pos")
+    by_win = wins.groupBy(F.col("win").alias(win), F.col("len").alias(len_)).agg(F.sort_array(F.collect_set("item")).alias(items))
     by_win = F.broadcast(by_win) if small else by_win
-    own = rows.where(F.size("hits") > 0).select(rid, F.explode("hits").alias("x")).select(rid, "x.*").join(by_win, ["win", "len"])
+    own = rows.where(F.size(hits) > 0).select(rid, F.explode(hits).alias("x")).select(rid, F.col("x.pos").alias(pos), F.col("x.len").alias(len_), F.col("x.win").alias(win)).join(by_win, [win, len_])
     own = own.groupBy(rid).agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.sort_array(F.collect_set(F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("len")).alias("b")))).alias("at"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set(items)))).alias(items),
+        F.sort_array(F.collect_set(F.struct(F.col(pos).alias("a"), (F.col(pos) + F.col(len_)).alias("b")))).alias(at),
     )
     none = F.array().cast("array<struct<a:int,b:int>>")
     merged = F.aggregate(
-        "at",
+        at,
         none,
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    own = own.select(rid, "items", merged.alias("spans"))
-    out = rows.drop("hits").join(own, rid, "left").withColumn("spans", F.coalesce("spans", none)).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    own = own.select(rid, items, merged.alias("spans"))
+    out = rows.drop(hits).join(own, rid, "left").withColumn("spans", F.coalesce("spans", none)).withColumn(items, F.coalesce(items, F.array().cast("array<string>")))
     out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda acc, x: acc + x["b"] - x["a"]).cast("long"))
-    out = out.withColumn("n_items", F.size("items").cast("long")).withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
+    out = out.withColumn("n_items", F.size(items).cast("long")).withColumn("items_sha256", F.sha2(F.array_join(items, ","), 256))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return out.drop(rid, "items")
+    out = fixed(out.drop(rid, items))
+    drop_stored(rows)
+    return out
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
