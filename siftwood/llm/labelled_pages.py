@@ -1,59 +1,179 @@
-"""Labelled pages for the extraction model. data-main="1" opens main text, data-main="0" takes a part out of it; children inherit."""
-
-_LONG = "The committee met on Thursday to discuss the new bridge, and after two hours of questions from residents it agreed to publish the full costs before the end of the month. "
-_MID = "Residents had asked for the figures since spring, when the first drawings were shown. "
-_SHORT = "Work starts in June. "
-
-_NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Sport</a></li><li><a href="/d">Contact</a></li></ul></nav>'
-_MENU = '<div class="menu" id="main-menu"><a href="/a">Home</a> <a href="/b">News</a> <a href="/c">Weather today and tomorrow</a></div>'
-_FOOT = "<footer>&copy; 2020 The Daily. All rights reserved by the publisher. <a href='/i'>Imprint</a></footer>"
-_FOOT2 = '<div class="footer"><p>Copyright of the publisher, all rights reserved, printed in two towns.</p><a href="/p">Privacy</a></div>'
-_AD = '<div class="ad">Buy two lamps and get the third one free until Sunday.</div>'
-_AD2 = '<div class="advertisement sponsored"><p>Our partner sells boats. They float, and they come in four colours and six sizes.</p></div>'
-_SIDE = '<aside><h3>Most read</h3><p>Ten recipes for rainy days that everybody will like.</p><ul><li><a href="/1">One story</a></li><li><a href="/2">Another story</a></li></ul></aside>'
-_SIDE2 = '<div id="sidebar" class="widget"><h4>About</h4><p>This site is run by a small team of volunteers who write in the evenings.</p></div>'
-_NOTE = '<div class="cookie-notice"><p>We use cookies to keep this site running. By going on you agree to that.</p><button>Agree</button></div>'
-_NOTE2 = '<div role="alert" class="banner notice">Our office is closed on Monday because of the holiday.</div>'
-_FORM = '<form action="/s"><label>Your address</label><input name="q"><select><option>Weekly</option><option>Daily</option></select><p>Sign up for our letter and never miss a story again.</p><button>Send</button></form>'
-_COMMENTS = '<section id="comments" class="comments"><h3>Comments</h3><div class="comment"><p>I do not think that this is true at all, and I have lived here for thirty years.</p></div><div class="comment"><p>Great read!</p></div></section>'
-_COMMENTS2 = '<div class="comment-list"><ol><li class="comment"><p>First of all, thank you for writing about the bridge, which nobody else did.</p></li><li class="comment"><p>Same here.</p></li></ol></div>'
-_SHARE = '<div class="share social"><a href="/f">Share</a> <a href="/t">Send</a></div>'
-_RELATED = '<div class="related-posts"><h3>Read also</h3><ul><li><a href="/x">The bridge of old</a></li><li><a href="/y">Ferries at night</a></li></ul></div>'
-_HEADER = '<header><div class="logo">The Daily</div><p>News for the whole valley, every day of the week but Sunday.</p></header>'
-_HEADER2 = '<div id="header" class="site-header"><h1>The Daily</h1><p class="tagline">News for the valley since the year of the flood.</p></div>'
-_HEAD = "<html><head><title>The bridge</title><style>p{margin:0}</style><script>var a=1;</script></head><body>"
-_END = "</body></html>"
-
-
-def _p(*texts: str) -> str:
-    return "".join(f"<p>{t}</p>" for t in texts)
-
-
-def _body(k: int) -> str:
-    """Main text of several shapes."""
-    return (
-        "<h1>The bridge</h1>" + _p(_LONG * 3, _MID, _LONG, _SHORT, _LONG * 6),
-        "<h1>The bridge</h1><p><b>" + _MID + "<br><p>" + _LONG * 2 + "</p>" + _p("No.", _MID * 2, _SHORT),
-        "<h2>The bridge</h2><div>" + _p(_LONG, _MID) + "</div><ul><li>Cost</li><li>" + _MID + "</li></ul><blockquote>" + _LONG + "</blockquote>",
-        "<h1>The bridge</h1>" + _p(_LONG + '<a href="/l">the plans</a> ' + _MID, "See <a href='/m'>the map</a>.", _SHORT) + "<pre>one  two</pre><table><tr><td>Cost</td><td>Two million</td></tr></table>",
-        "<h1>Bridge</h1>" + _p(_SHORT) + "<h2>Costs</h2>" + _p("Two.", _LONG * 8) + "<section><h3>Next</h3>" + _p(_MID) + "</section>",
-        _p(_SHORT),
-    )[k]
-
-
-def labelled_pages() -> list[str]:
-    pages = []
-    fronts = (_NAV, _MENU, _HEADER + _NAV, _HEADER2 + _MENU, _NAV + _AD, _NOTE + _NAV, _NOTE2 + _HEADER + _MENU + _AD2)
-    backs = (_FOOT, _FOOT2, _SIDE + _FOOT, _SIDE2 + _FOOT2, _COMMENTS + _FOOT, _COMMENTS2 + _RELATED + _FOOT, _FORM + _SHARE + _FOOT2)
-    inside = ("", _AD, _AD2, _SIDE, _FORM, _COMMENTS, _COMMENTS2, _SHARE + _RELATED, _NOTE)
-    opens = ('<article data-main="1">', '<main data-main="1">', '<div class="content" data-main="1">', '<div id="article-body" class="post" data-main="1">', '<main><article class="story" data-main="1">', '<div id="page"><div class="entry-content" data-main="1">')
-    for i in range(84):
-        tag = opens[i % 6]
-        extra = inside[(i * 5) % 9].replace(">", ' data-main="0">', 1) if inside[(i * 5) % 9] else ""
-        for part in (_SHARE, _RELATED):
-            extra = extra.replace(part, part.replace(">", ' data-main="0">', 1))
-        close = "".join(f"</{t}>" for t in (("article", "main") if tag.startswith("<main><art") else ("div", "div") if tag.startswith('<div id="page"') else (tag[1:].split()[0],)))
-        body = _body((i * 7 + i // 6) % 6)
-        pages.append(_HEAD + fronts[i % 7] + tag + body + extra + close + backs[(i * 3 + i // 7) % 7] + _END)
-    bare = (_p(_LONG * 40), _p(_SHORT), "<h1>The bridge</h1>" + _p(_LONG, _SHORT), _body(1))
-    return pages + [tag + body + "".join(f"</{t}>" for t in [tag[1:].split()[0]]) + back for tag in opens[:4] for body in bare for back in ("", _FOOT)]
+"""Labelled pages for the extraction model, made by rule: data-main="1" opens main text, data-main="0" takes a part out of it; children inherit.
+
+Layouts vary in boxes (with and without telling class names, tables, bare bodies),
+in kinds of blocks, in what surrounds and interrupts the text, in length and in
+language. Words are put together from syllables, so that no word of a table tells.
+"""
+
+from __future__ import annotations
+
+import random
+
+#: How a page without boxes begins whose own text is main text.
+BARE = "<!-- main text -->"
+
+SYLLABLES = {
+    "en": "the of and to in ing er ed ation ly ment re con st ough sh th wh ter ness".split(),
+    "de": "der die und zu den ein ich sch ung heit keit ver ge be aus ß ü ä ten lich".split(),
+    "fr": "le la de des et en que tion ment eux è é ou pré par au ç ille eur ais".split(),
+    "es": "el la de que y en los ción mente ado ñ ar es por con ía á ero dad tra".split(),
+}
+MENU_CLASSES = ("nav", "menu", "main-menu", "navbar", "top-nav", "breadcrumb", "")
+EDGE_CLASSES = ("footer", "site-footer", "page-header", "masthead", "copyright", "", "", "", "")
+SIDE_CLASSES = ("sidebar", "widget", "related-posts", "right-rail", "most-popular", "recommended")
+AD_CLASSES = ("ad", "advert", "ad-slot", "sponsored", "promo", "advertisement", "ads banner")
+NOTICE_CLASSES = ("cookie-notice", "notice", "consent-banner", "alert", "gdpr", "popup", "modal")
+COMMENT_CLASSES = ("comments", "comment-list", "discussion", "replies", "reader-comments")
+FORM_CLASSES = ("newsletter", "newsletter-signup", "subscribe-box", "login", "signup", "searchform")
+SHARE_CLASSES = ("share", "social-links", "sharing")
+MAIN_BOXES = (
+    ("<article{}>", "</article>"), ("<main{}>", "</main>"), ("<div{}>", "</div>"), ('<div class="content"{}>', "</div>"), ('<div id="article-body" class="post"{}>', "</div>"),
+    ('<main{}><article class="story">', "</article></main>"), ('<div id="page"><div class="entry-content"{}>', "</div></div>"), ("<section{}>", "</section>"),
+    ("<table><tr><td{}>", "</td></tr></table>"), ('<div class="wrap"><div{}>', "</div></div>"), ("<div><div{}>", "</div></div>"), ("<main{}><div><section>", "</section></div></main>"), ('<div id="content"{}>', "</div>"), ('<div class="main"><div class="text"{}>', "</div></div>"),
+)
+#: Classes of parts of the text that say nothing against it.
+INNER_CLASSES = ("warning", "note", "author-note", "links", "intro", "lead", "box", "highlight", "infobox", "step", "tip", "important", "example", "quote", "message", "meta")
+
+
+class _Writer:
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+        self.syllables = SYLLABLES[self.r.choice(sorted(SYLLABLES))]
+
+    def word(self) -> str:
+        return "".join(self.r.choice(self.syllables) for _ in range(self.r.randint(1, 3)))
+
+    def sentence(self, least: int = 4, most: int = 16) -> str:
+        words = [self.word() for _ in range(self.r.randint(least, most))]
+        return (" ".join(words)).capitalize() + self.r.choice("...?!")
+
+    def prose(self, n: int) -> str:
+        return " ".join(self.sentence() for _ in range(n))
+
+    def link(self) -> str:
+        return f'<a href="/{self.word()}">{" ".join(self.word() for _ in range(self.r.randint(1, 3)))}</a>'
+
+    def named(self, tag: str, names: tuple[str, ...], body: str) -> str:
+        name = self.r.choice(names)
+        how = self.r.choice(("class", "id"))
+        return f'<{tag} {how}="{name}">{body}</{tag}>' if name else f"<{tag}>{body}</{tag}>"
+
+    # --- what is not main text
+
+    def menu(self) -> str:
+        links = [self.link() for _ in range(self.r.randint(3, 9))]
+        own = "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>" if self.r.random() < 0.6 else " | ".join(links)
+        return f"<nav>{own}</nav>" if self.r.random() < 0.5 else self.named("div", MENU_CLASSES, own)
+
+    def header(self) -> str:
+        own = f"<h1>{self.sentence(1, 3)}</h1>" if self.r.random() < 0.4 else f'<div class="logo">{self.sentence(1, 3)}</div>'
+        own += f"<p>{self.prose(1)}</p>" if self.r.random() < 0.5 else ""
+        return f"<header>{own}</header>" if self.r.random() < 0.6 else f'<div id="{self.r.choice(("header", "site-header", "masthead"))}">{own}</div>'
+
+    def footer(self) -> str:
+        own = self.r.choice((f"&copy; 20{self.r.randint(10, 30)} {self.prose(1)}", f"© {self.prose(2)} {self.link()}", f"<p>Copyright {self.prose(1)}</p>{self.link()}", f"{self.link()} {self.link()} &copy; {self.sentence(1, 4)}", self.prose(1)))
+        if "opy" not in own and "©" not in own:
+            return f"<footer>{own}</footer>"
+        return f"<footer>{own}</footer>" if self.r.random() < 0.5 else self.named("div", EDGE_CLASSES, own)
+
+    def side(self) -> str:
+        own = f"<h3>{self.sentence(1, 3)}</h3><p>{self.prose(self.r.randint(1, 2))}</p>"
+        if self.r.random() < 0.6:
+            own += "<ul>" + "".join(f"<li>{self.link()}</li>" for _ in range(self.r.randint(2, 6))) + "</ul>"
+        return f"<aside>{own}</aside>" if self.r.random() < 0.4 else self.named("div", SIDE_CLASSES, own)
+
+    def advert(self) -> str:
+        own = self.prose(self.r.randint(1, 3))
+        return self.named(self.r.choice(("div", "div", "section", "p")), AD_CLASSES, own if self.r.random() < 0.6 else f"<p>{own}</p>{self.link()}")
+
+    def notice(self) -> str:
+        own = f"<p>{self.prose(self.r.randint(1, 2))}</p>" + ("<button>" + self.word() + "</button>" if self.r.random() < 0.6 else "")
+        return self.named("div", NOTICE_CLASSES, own) if self.r.random() < 0.8 else f'<div role="alert">{own}</div>'
+
+    def form(self) -> str:
+        own = f'<label>{self.sentence(1, 3)}</label><input name="q"><select><option>{self.word()}</option><option>{self.word()}</option></select><button>{self.word()}</button>'
+        if self.r.random() < 0.4:
+            return self.named("div", FORM_CLASSES, f"<p>{self.prose(1)}</p>" + (f"<form>{own}</form>" if self.r.random() < 0.5 else ""))
+        return f"<form>{own if self.r.random() < 0.6 else ''}<p>{self.prose(1)}</p></form>"
+
+    def hidden(self) -> str:
+        return f"<div {self.r.choice(('hidden', 'style=\"display: none\"', 'aria-hidden=\"true\"'))}><p>{self.prose(1)}</p></div>"
+
+    def comments(self) -> str:
+        each = [f'<div class="comment"><p>{self.prose(self.r.randint(1, 3))}</p></div>' if self.r.random() < 0.7 else f'<li class="comment">{self.prose(1)}</li>' for _ in range(self.r.randint(1, 5))]
+        return self.named(self.r.choice(("section", "div", "ol")), COMMENT_CLASSES, f"<h3>{self.sentence(1, 2)}</h3>" + "".join(each))
+
+    def share(self) -> str:
+        return self.named("div", SHARE_CLASSES, " ".join(self.link() for _ in range(self.r.randint(2, 4))))
+
+    # --- main text
+
+    def inline(self, text: str) -> str:
+        words = text.split(" ")
+        for _ in range(self.r.randint(0, 2)):
+            k = self.r.randrange(len(words))
+            words[k] = self.r.choice((f"<b>{words[k]}</b>", f"<em>{words[k]}</em>", f'<a href="/x">{words[k]}</a>', f"<span>{words[k]}</span>", f"<code>{words[k]}</code>", f"<math><mi>{words[k]}</mi></math>"))
+        return " ".join(words)
+
+    def block(self, depth: int = 0) -> str:
+        p = lambda n=None: f"<p>{self.inline(self.prose(n or self.r.choice((1, 1, 2, 3, 5, 9))))}</p>"
+        kind = self.r.randrange(23)
+        if kind == 22:
+            return f"<p>{self.r.choice(('All rights reserved.', 'Copyright notice: ' + self.prose(1), '&copy; ' + self.sentence(1, 3)))}</p>"
+        if kind < 9 or depth > 2:
+            return p()
+        if kind == 9:
+            return f"<h{self.r.randint(2, 4)}>{self.sentence(1, 5)}</h2>"
+        if kind == 10:
+            tag = self.r.choice(("ul", "ol"))
+            return f"<{tag}>" + "".join(f"<li>{self.inline(self.prose(1))}</li>" for _ in range(self.r.randint(2, 6))) + f"</{tag}>"
+        if kind == 11:
+            return "<table>" + "".join(f"<tr><th>{self.word()}</th><td>{self.sentence(1, 6)}</td><td>{self.word()}</td></tr>" for _ in range(self.r.randint(1, 5))) + "</table>"
+        if kind == 12:
+            return f"<blockquote>{p()}</blockquote>"
+        if kind == 13:
+            return f"<details><summary>{self.sentence(1, 4)}</summary>{p()}{p()}</details>"
+        if kind == 14:
+            return f"<figure><img src=x><figcaption>{self.prose(1)}</figcaption></figure>"
+        if kind == 15:
+            return f"<dl><dt>{self.word()}</dt><dd>{self.prose(1)}</dd></dl>"
+        if kind == 16:
+            return f"<pre>{self.prose(1)}</pre>"
+        if kind == 17:
+            return self.r.choice((f"<noscript>{p()}</noscript>", f"<svg><text>{self.word()}</text></svg>", f"<xmp>{self.prose(1)}</xmp>", f"<template>{p()}</template>"))
+        if kind < 20:
+            return self.named("div", INNER_CLASSES, "".join(self.block(depth + 1) for _ in range(self.r.randint(1, 2))) if self.r.random() < 0.6 else self.prose(self.r.randint(1, 2)))
+        return f"<{'div' if kind == 20 else 'section'}>" + "".join(self.block(depth + 1) for _ in range(self.r.randint(1, 3))) + f"</{'div' if kind == 20 else 'section'}>"
+
+    def body(self) -> str:
+        title = f"<h1>{self.sentence(2, 8)}</h1>"
+        top = self.r.choice((title, title, f"<header>{title}</header>", "", f"<h2>{self.sentence(2, 6)}</h2>"))
+        return top + "".join(self.block() for _ in range(self.r.choice((1, 1, 2, 4, 8, 16))))
+
+    def page(self) -> str:
+        some = lambda makers, most: [self.r.choice(makers)() for _ in range(self.r.randint(0, most))]
+        front = some((self.menu, self.header, self.advert, self.notice, self.hidden), 4)
+        back = some((self.footer, self.footer, self.side, self.comments, self.form, self.share, self.advert), 4)
+        inset = [x.replace(">", ' data-main="0">', 1) for x in some((self.advert, self.side, self.form, self.comments, self.share, self.notice), self.r.choice((0, 0, 1, 3)))]
+        if self.r.random() < 0.03:
+            return BARE + "<br>".join(self.inline(self.prose(self.r.randint(1, 5))) for _ in range(self.r.randint(1, 4)))
+        blocks, inset_at = self.body(), self.r.random() < 0.5
+        body = "".join([*inset, blocks] if inset_at and self.r.random() < 0.3 else [blocks, *inset])
+        if inset and inset_at:
+            body += self.block()
+        if self.r.random() < 0.15:  # no box at all: every block of the text is marked
+            parts = "".join(f'<p data-main="1">{self.inline(self.prose(self.r.randint(1, 6)))}</p>' for _ in range(self.r.randint(1, 5)))
+            own = (f'<h1 data-main="1">{self.sentence(2, 8)}</h1>' if self.r.random() < 0.6 else "") + parts
+        else:
+            opening, closing = self.r.choice(MAIN_BOXES)
+            own = opening.format(' data-main="1"') + body + closing
+        head = f"<html><head><title>{self.sentence(2, 6)}</title><style>p{{margin:0}}</style><script>var a=1;</script></head>" if self.r.random() < 0.7 else ""
+        parts = f"{''.join(front)}{own}{''.join(back)}"
+        if not head and self.r.random() < 0.6:
+            return parts  # neither html nor body
+        return f"{head}<body>{parts}</body>" + ("</html>" if head else "")
+
+
+def labelled_pages(n: int = 500, first: int = 0) -> list[str]:
+    """n pages; other numbers give other pages."""
+    return [_Writer(1000 + first + i).page() for i in range(n)]
