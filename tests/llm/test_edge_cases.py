@@ -60,6 +60,76 @@ def test_decontamination(spark, docs, empty):
     assert kept.count() == len(TEXTS) - 4 and kept.columns == ["doc_id", "text", "n_words", "hits", "rid", "extra"]
 
 
+def test_columns_of_any_name_stay(spark, docs):
+    """Names that the operators use within."""
+    names = ["items", "at", "win", "len", "pos", "rough", "w", "gone_id", "gone_th", "dk", "bpe", "__bpe", "__m", "measures", "__text", "main", "a", "b"]
+    own = docs.select("*", *[F.lit(f"old {n}").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    pages = own.withColumnsRenamed({"text": "html", "doc_id": "page_id"})
+    for got in (decontaminate.decontaminate(own, bench), decontaminate.remove_documents(own, bench), jaccard_join.keep_one(own), quality_rules.ledger(own), bpe_automaton.bpe_encode(own), token_counts.count_tokens(own), html_text.extract(pages)):
+        row = got.first()
+        assert all(row[n] == f"old {n}" for n in names)
+
+
+def test_written_shards_hold_every_row_once(spark, docs, tmp_path):
+    own = docs.withColumns({"shard": F.lit(7), "size": F.lit("x")})
+    sharding.write_shards(own, str(tmp_path / "shards"), 3)
+    got = spark.read.parquet(str(tmp_path / "shards"))
+    key = lambda r: str((r.doc_id, r.text))
+    assert sorted(map(key, got.collect())) == sorted(map(key, docs.collect()))
+    for s in range(3):
+        slots = sorted(r.slot for r in got.where(F.col("shard") == s).collect())
+        assert slots == list(range(len(slots)))
+
+
+def test_ranges_and_cuts(spark):
+    """Splitters over skewed keys: ranges near their share, cuts where the running sum says."""
+    from siftwood.llm import ranges
+
+    rows = [(5 if i % 3 else i * 7919 % 1000, i * 31 % 977, i, 1 + i % 50) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key long, id long, salt long, size long").persist()
+    total = sum(r[3] for r in rows)
+    splitters, found = ranges.choose_splitters(df, ["key", "id", "salt"], "size", 50, total)
+    assert sum(n for _, n in found) == 6000 and max(s for s, _ in found) < 4 * total / 50
+    cuts = ranges.exact_cuts(df, ["key", "id", "salt"], "size", splitters, found, total, 7)
+    want, before = {}, 0
+    for *key, s in sorted(rows):
+        want[min(6, (2 * before + s) * 7 // (2 * total))] = tuple(key)
+        before += s
+    assert cuts == [want[k] for k in range(6)]
+
+
+def test_components_of_hubs_and_chains(spark):
+    from siftwood.llm.components import components
+
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(300)} | {1000 + i: 1000 for i in range(41)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_removal_beyond_the_broadcast(spark, docs, monkeypatch):
+    bench = spark.createDataFrame([(1, "a b c"), (4, "same text here ok")], "item_id long, text string")
+    get = lambda: sorted(map(str, decontaminate.remove_documents(docs, bench).collect()))
+    want = get()
+    monkeypatch.setattr(decontaminate, "MOST_REMOVED", 0)
+    assert get() == want
+
+
+def test_pipeline_stages(spark, docs, empty):
+    """Every stage on nulls, repeats, long texts, an empty table and extra columns."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    for name, stage in P.STAGES:
+        own = docs.withColumns({"lang": F.lit(None).cast("string"), "score": F.lit(1), "kept": F.lit("x"), "items": F.lit(2)})
+        got = stage(spark, own, sf)
+        rows = got.collect()
+        assert len(rows) <= len(TEXTS) and (name == "bpe" or got.columns == own.columns), name
+        assert name in ("quality_rules", "bpe") or {r.doc_id for r in rows} >= {1, 2, 3, 4}, name
+        assert stage(spark, own.where("false"), sf).count() == 0, name
+
+
 def test_decontamination_by_joins_is_the_same(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, "a b c"), (4, "same text here ok"), (6, " ".join(f"w{i}x" for i in range(20)))], "item_id long, text string")
     get = lambda: sorted(map(str, decontaminate.decontaminate(docs, bench).select("doc_id", *decontaminate.RESULTS).collect()))
