@@ -2,7 +2,12 @@
 
 Each stage gets what its predecessor kept, as a table read back from Parquet in
 the shared folder; a lost executor costs its tasks alone. All but the last stage
-return the columns of documents.
+return the columns of documents, and columns of other names that docs has.
+
+Of all stages: null and empty texts are no error (quality rules reject them, the
+others keep them); texts of any length are read whole; repeated rows get equal
+decisions (the Jaccard join keeps one of them); an empty table gives an empty table;
+columns that clash with names used within stay as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwood.llm.bpe_automaton import bpe_encode
-from siftwood.llm.common import stored, table
+from siftwood.llm.common import drop_stored, stored, table
 from siftwood.llm.decontaminate import remove_documents
 from siftwood.llm.jaccard_join import keep_one
 from siftwood.llm.quality_rules import apply_policy, ledger
@@ -55,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last is not None:  # nothing reads the stage before any more
+            drop_stored(last)
+        last = docs
     return docs
