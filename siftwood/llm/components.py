@@ -33,11 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) of all nodes with an edge. edges: u, v of one orderable type."""
     now = fixed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     shape = None
-    for _ in range(MOST_ROUNDS):
+    for _ in range(MOST_ROUNDS if now.take(1) else 1):
         now = fixed(_small_star(_large_star(now)))
         # Stars alone: as many edges as nodes that have one, and no root that has a root.
         new = now.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == shape:
+        if new == shape or not new[0]:
             break
         shape = new
     else:

@@ -38,7 +38,7 @@ from .labelled_pages import BARE, labelled_pages
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What is no text of the page up to its end tag; and what is text, but holds no tags.
 RAW, PLAIN = frozenset("script style textarea title iframe noembed noframes".split()), frozenset(["xmp"])
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label math mi mn mo svg text tspan".split())
 #: A start tag closes an open tag of these, up to one that holds them.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
