@@ -8,8 +8,8 @@ i % BATCH of batch i // BATCH, read from a memory map without copying. Beside
 each file stands one with its doc_ids.
 
 Texts are cut at ASCII white space, which the word-level vocabulary drops and
-never joins over; the library encodes each distinct piece, and the rest is
-remembered.
+never joins over; the library encodes each distinct piece, apart from marks at its
+end, and the rest is remembered.
 
 Files go to the shared folder; each attempt writes under names of its own, and
 only names that a finished task returned are read.
@@ -26,6 +26,7 @@ read. Who asks for the files deletes them: drop_token_files().
 from __future__ import annotations
 
 import itertools
+import re
 import uuid
 import zlib
 
@@ -43,6 +44,16 @@ LENGTH, BATCH = 2048, 64
 FILE_BYTES, FEWEST = 32 << 20, 48
 LOWEST = -(1 << 63)
 KEYS = ["id", "key", "salt"]
+#: ASCII marks, without those of special strings.
+MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+#: Letters of ASCII and Latin-1 (UTF-8) alone: one word to the library, in any case.
+WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Bytes of remembered pieces, about.
+REMEMBERED = 96 << 20
+#: Words that the library gets as one text.
+TOGETHER = 200
+#: Characters of texts that are cut together, and pieces whose ids are put together at once.
+CUT, BLOCK = 4_000_000, 1 << 18
 
 
 class WordEncoder:
@@ -54,37 +65,78 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.memo = Memo()
-        self.mark = {m: self._ids([m.decode()])[0] for m in (b",", b".")}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.memo = Memo(REMEMBERED)
+
+    def _ask(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _ids(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct pieces from the library. Words stand together in its texts: each has one id that ends a word, its last."""
+        words = [p for p in pieces if p.isalpha() or WORD.fullmatch(p)]
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out: dict[bytes, bytes] = {}
+        for group, ids in zip(groups, self._ask([b" ".join(g) for g in groups]), strict=True):
+            stops = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(stops) == len(group):
+                raw = ids.tobytes()
+                out.update(zip(group, (raw[i:j] for i, j in itertools.pairwise([0, *stops])), strict=True))
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, (ids.tobytes() for ids in self._ask(rest)), strict=True))
+        return out
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces, as far as possible remembered ones."""
         memo = self.memo
-        cut = []
-        for t in texts:
-            raw = t.encode()
-            cut.append((raw if b"<|" in raw else raw.lower()).split())  # special strings count in their case
-        known = {p: memo[p] for ps in cut for p in ps}  # a piece may have no ids: None alone means not known
-        new = [p for p, ids in known.items() if ids is None]
-        stems = {p: s for p in new if (s := self._stem(p)) is not None}
-        ask = list(dict.fromkeys([*(p for p in new if p not in stems), *(s for s in stems.values() if known.get(s) is None)]))
-        found = dict(zip(ask, self._ids([p.decode() for p in ask]), strict=True))
-        for p, s in stems.items():  # a letter, then one mark: the mark is a word of its own
-            own = found.get(s)
-            found[p] = (known[s] if own is None else own) + self.mark[p[-1:]]
+        known: dict[bytes, bytes | None] = {}  # a piece may have no ids: None alone means not known
+        marked = {}
+        for p in pieces:
+            stem = p.rstrip(MARKS)
+            if len(stem) < len(p) and stem and 97 <= stem[-1] <= 122:  # a letter, then marks: they are a word of their own
+                marked[p] = stem, p[len(stem) :]
+            else:
+                known[p] = memo[p]
+        for part in itertools.chain.from_iterable(marked.values()):
+            if part not in known:
+                known[part] = memo[part]
+        found = self._ids([p for p, ids in known.items() if ids is None])
         known |= found
         for p, ids in found.items():
             if len(p) <= LONG_PIECE:
                 memo.keep(p, ids, len(p) + len(ids))
-        return [b"".join([known[p] for p in ps]) for ps in cut]
+        for p, (stem, marks) in marked.items():
+            known[p] = known[stem] + known[marks]
+        return [known[p] for p in pieces]
 
     @staticmethod
-    def _stem(p: bytes) -> bytes | None:
-        return p[:-1] if p[-1] in b",." and len(p) > 1 and 97 <= p[-2] <= 122 else None
+    def _folded(text: str) -> bytes:
+        """The text in small ASCII letters. Case stays for special strings, and before marks that the library composes with small letters only."""
+        raw = text.encode()
+        return raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+        from pyarrow import compute
+
+        cut = compute.ascii_split_whitespace(pa.array([self._folded(t) for t in texts], pa.string()))
+        coded = cut.values.dictionary_encode()
+        ids, words = self._known(coded.dictionary.cast(pa.binary()).to_pylist()), coded.indices.to_numpy()
+        flat, n = np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        first, stops = np.cumsum(n) - n, np.zeros(len(words) + 1, np.int64)
+        np.cumsum(n[words], out=stops[1:])
+        parts = []
+        for i in range(0, len(words), BLOCK):
+            w = words[i : i + BLOCK]
+            at = np.repeat(first[w] - stops[i : i + len(w)], n[w])
+            at += np.arange(stops[i], stops[i + len(w)])
+            parts.append(flat[at].tobytes())
+        raw = b"".join(parts)
+        ends = (stops[cut.offsets.to_numpy()] * self.dtype.itemsize).tolist()
+        return [raw[i:j] for i, j in itertools.pairwise(ends)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -109,7 +161,7 @@ def ids_column(text: Column, vocabulary: str = VOCABULARY, end: int = END) -> Co
 
         e = encoder(_path(vocabulary))
         last = np.array([end], e.dtype).tobytes()
-        return pa.array([ids + last for part in slices(texts) for ids in e.encode(part)], pa.binary())
+        return pa.array([ids + last for part in slices(texts, CUT) for ids in e.encode(part)], pa.binary())
 
     return run(text)
 

@@ -230,6 +230,53 @@ def test_pieces_without_ids_are_remembered_too():
     assert e.encode(blanks) == want == e.encode(blanks)
 
 
+def test_word_encoder_composes_before_it_lowers():
+    """Marks that make one letter with a small letter, but not with the capital."""
+    from siftwood.llm.token_files import WordEncoder
+
+    e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ["J\u030c", "xH\u0331y", "T\u0344", "W\u030a, THE", "Y\u030a.", "h\u0331 t\u0308", "I\u0307"]:
+        assert np.frombuffer(e.encode([text])[0], e.dtype).tolist() == e.library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_word_encoder_asks_for_words_together():
+    """New words go to the library many to a text, and marks behind them once."""
+    from siftwood.llm.token_files import WordEncoder
+
+    e = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    library, asked = e.library, []
+
+    class Library:
+        def encode_batch(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch(texts, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    e.library = Library()
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeghinorstuéßü"), int(rng.integers(3, 12)))) + "n" for _ in range(3000)]
+    texts = [" ".join(words), " ".join(w + m for w in words for m in (".", "!!", "&&&", "")), ""]
+    for ids, want in zip(e.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, e.dtype).tolist() == want.ids
+    assert len(asked) <= len(words) / 50
+
+
+def test_word_encoder_in_small_blocks(monkeypatch):
+    from siftwood.llm import token_files
+
+    monkeypatch.setattr(token_files, "BLOCK", 7)
+    monkeypatch.setattr(token_files, "TOGETHER", 3)
+    e = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["", " \n", "one two three four five six seven eight. \u00a0 nine", "<|endoftext|>!! a,b 'say it's", "", "\u4e2d\u6587 x " * 9]
+    for _ in range(2):
+        for ids, want in zip(e.encode(texts), e.library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, e.dtype).tolist() == want.ids
+    assert e.encode([]) == []
+
+
 def test_compiled_automaton():
     """Every token that two tokens in a row may be is an arc exactly if the library keeps the two apart."""
     a, tok = codec(BYTE).automaton, _library()
