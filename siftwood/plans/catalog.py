@@ -314,7 +314,7 @@ def _files(rows: DataFrame, key: str, text: str, build: Callable[[int, str], byt
 
         return pa.array([build(k, t or "") for k, t in zip(keys.to_pylist(), texts.to_pylist(), strict=True)], pa.binary())
 
-    return rows.select(F.col(key).alias("file_id"), run(F.col(key), F.col(text)).alias("content"))
+    return tables.small_batches(rows).select(F.col(key).alias("file_id"), run(F.col(key), F.col(text)).alias("content"))
 
 
 def document_files(spark, sf_dir, build):

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import cfb, documents, formats, ovba
 
+#: Arrow batches that Python gets: setting, Spark's usual value, ours. Files are large beside the rows that Spark's values suit.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
 #: Bytes of files that one output batch gathers.
 BATCH = 32 << 20
 
@@ -35,6 +37,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """rows; its session's Arrow batches get bounds that suit files, where Spark's usual ones stand: a worker's memory doesn't grow with its task's rows."""
+    conf = rows.sparkSession.conf
+    for name, (usual, bound) in BATCHES.items():
+        if conf.get(name) == usual:
+            conf.set(name, bound)
+    return rows
+
+
 def container_type() -> Column:
     """What a file is, by its first bytes or by what stands anywhere in it, in order of precedence."""
     c = F.col("content")
@@ -97,7 +108,7 @@ def generate(files: DataFrame, read: Callable[[bytes], Iterator[tuple]], schema:
             if held:
                 yield _batch(held, types)
 
-    return files.select(key, content).mapInArrow(run, f"{key} {kind}, {schema}" + (", error string" if errors else ""))
+    return small_batches(files).select(key, content).mapInArrow(run, f"{key} {kind}, {schema}" + (", error string" if errors else ""))
 
 
 def _batch(rows: list[tuple], schema):

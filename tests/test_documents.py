@@ -6,6 +6,7 @@ import pytest
 
 from siftwood.functions import macro_text as M
 from siftwood.operators import dde
+from siftwood.plans import catalog
 from siftwood.plans import file_catalog as C
 from siftwood.sources import cfb, documents, formats, tables
 
@@ -132,3 +133,20 @@ def test_dridex_of_odd_strings():
     for text in ("", "abc", "x" * 20, "1" * 40, "a1b2" * 12):
         out = M.dridex_decode(text)
         assert out is None or isinstance(out, str)
+
+
+def rows_of_batches(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+
+def test_workers_get_small_batches_of_files(spark):
+    """However many rows a task has, in a session of Spark's usual settings: when files are built (their texts and they themselves), and when they are read."""
+    one = spark.newSession().range(0, 5000, 1, 1).selectExpr("id", "'Sub AutoOpen()' AS code")
+    files = catalog._files(one, "id", "code", lambda k, t: t.encode())
+    assert [r.n for r in files.mapInArrow(rows_of_batches, "n long, bytes long").collect()] == [2000, 2000, 1000]
+    given = spark.newSession().range(0, 30, 1, 1).selectExpr("id AS file_id", "cast(repeat('x', 1000000) AS binary) AS content")
+    assert tables.generate(given, lambda d: [(len(d),)], "n long").where("n = 1000000").count() == 30
+    assert max(r.bytes for r in given.mapInArrow(rows_of_batches, "n long, bytes long").collect()) < 10_000_000
