@@ -150,3 +150,18 @@ def test_workers_get_small_batches_of_files(spark):
     given = spark.newSession().range(0, 30, 1, 1).selectExpr("id AS file_id", "cast(repeat('x', 1000000) AS binary) AS content")
     assert tables.generate(given, lambda d: [(len(d),)], "n long").where("n = 1000000").count() == 30
     assert max(r.bytes for r in given.mapInArrow(rows_of_batches, "n long, bytes long").collect()) < 10_000_000
+
+
+@pytest.mark.parametrize("name", ["g10_macro_presence"])
+def test_whole_results_over_many_batches(spark, tmp_path, monkeypatch, name):
+    """The query itself binds its batches, here to 50 files, and gives what its SQL does."""
+    import duckdb
+
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setitem(tables.BATCHES, limit, ("10000", "50"))
+    own, con = spark.newSession(), duckdb.connect()
+    con.execute(f"CREATE TABLE customer AS SELECT i::BIGINT AS c_custkey, 'Customer#' || i AS c_name FROM range(2000) r(i); COPY customer TO '{tmp_path}/customer.parquet'")
+    got = catalog.QUERIES[name](own, str(tmp_path))
+    assert own.conf.get(limit) == "50"
+    want = con.execute(catalog.ORACLE[name])
+    assert sorted(map(tuple, got.select(*[c[0] for c in want.description]).collect())) == sorted(want.fetchall())
