@@ -152,7 +152,7 @@ def test_workers_get_small_batches_of_files(spark):
     assert max(r.bytes for r in given.mapInArrow(rows_of_batches, "n long, bytes long").collect()) < 10_000_000
 
 
-@pytest.mark.parametrize("name", ["g10_macro_presence"])
+@pytest.mark.parametrize("name", ["g10_macro_presence", "s2_zip_scan"])
 def test_whole_results_over_many_batches(spark, tmp_path, monkeypatch, name):
     """The query itself binds its batches, here to 50 files, and gives what its SQL does."""
     import duckdb
