@@ -21,8 +21,8 @@ from . import cfb, documents, formats, ovba
 
 #: Arrow batches that Python gets: setting, Spark's usual value, ours. Files are large beside the rows that Spark's values suit.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
-#: Bytes of files that one output batch gathers.
-BATCH = 32 << 20
+#: Bytes of files, and rows, that one output batch gathers: rows of a few numbers are small in Arrow, not in Python.
+BATCH, ROWS = 8 << 20, 10_000
 
 
 def scan_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
@@ -98,8 +98,8 @@ def generate(files: DataFrame, read: Callable[[bytes], Iterator[tuple]], schema:
                 try:
                     for row in read(data):
                         held.append((k, *row, *last))
-                        size += sum(len(x) for x in row if isinstance(x, (bytes, str)))
-                        if size > BATCH:
+                        size += _length(row)
+                        if size > BATCH or len(held) >= ROWS:
                             yield _batch(held, types)
                             held, size = [], 0
                 except failures as e:
@@ -111,6 +111,11 @@ def generate(files: DataFrame, read: Callable[[bytes], Iterator[tuple]], schema:
     return small_batches(files).select(key, content).mapInArrow(run, f"{key} {kind}, {schema}" + (", error string" if errors else ""))
 
 
+def _length(x) -> int:
+    """Of bytes and texts, in lists too."""
+    return len(x) if isinstance(x, (bytes, str)) else sum(map(_length, x)) if isinstance(x, (list, tuple)) else 0
+
+
 def _batch(rows: list[tuple], schema):
     import pyarrow as pa
 

@@ -165,3 +165,20 @@ def test_whole_results_over_many_batches(spark, tmp_path, monkeypatch, name):
     assert own.conf.get(limit) == "50"
     want = con.execute(catalog.ORACLE[name])
     assert sorted(map(tuple, got.select(*[c[0] for c in want.description]).collect())) == sorted(want.fetchall())
+
+
+def test_small_rows_leave_in_small_batches(spark, monkeypatch):
+    """A file of a few bytes that gives very many rows of numbers, or long texts within lists."""
+    import pyarrow as pa
+
+    steps = []
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", lambda self, run, schema: steps.append(run))
+    files = spark.range(3).selectExpr("id AS file_id", "cast('x' AS binary) AS content")
+    tables.generate(files, lambda d: ((i,) for i in range(45_000)), "n long")
+    tables.generate(files, lambda d: (([("a", "x" * 1_000_000)],) for _ in range(30)), "attributes map<string,string>")
+    given = [pa.RecordBatch.from_pydict({"file_id": [1, 2, 3], "content": [b"x"] * 3})]
+    numbers = list(steps[0](given))
+    assert max(b.num_rows for b in numbers) <= 10_000
+    assert [tuple(r.values()) for b in numbers for r in b.to_pylist()] == [(k, i) for k in (1, 2, 3) for i in range(45_000)]
+    lists = list(steps[1](given))
+    assert max(b.nbytes for b in lists) < 10_000_000 and sum(b.num_rows for b in lists) == 90
